@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import conversations
+from sessionloom.llm import conversations, mixing, packing
 
-_MODULES = (conversations,)
+_MODULES = (conversations, packing, mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
