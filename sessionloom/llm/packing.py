@@ -72,7 +72,7 @@ def pack(items: DataFrame, packs: list[tuple[str, int]], group_items: int = GROU
             rest = tok - full * capacity
             at = np.repeat(np.arange(len(tok)), full)
             piece = np.arange(len(at)) - np.repeat(np.cumsum(full) - full, full)
-            share = lambda x, t: np.minimum(t, -(-x * t // np.maximum(tok, 1)))  # noqa: B023, E731
+            share = lambda x, t: -(-x * t // np.maximum(tok, 1))  # noqa: B023, E731
             has = np.flatnonzero(rest)
             room = np.array([capacity, max(1, capacity // tokens_per_segment), max(1, int(capacity * loss_share))], float)
             r = np.stack([rest[has], np.maximum(1, share(seg, rest)[has]), share(loss, rest)[has]], 1)
