@@ -92,7 +92,8 @@ def pack(items: DataFrame, packs: list[tuple[str, int]], group_items: int = GROU
 
     dealt = items.where((F.col("tokens") > 0) & F.col("doc_id").isNotNull())
     dealt = dealt.select("doc_id", "tokens", "segments", "loss", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g"))
-    return dealt.groupBy("g").applyInPandas(run, _OUT)
+    # The rows are few bytes and much work: a partition for each group, which adaptive execution leaves as it is.
+    return dealt.repartition(groups, "g").groupBy("g").applyInPandas(run, _OUT)
 
 
 def p6_pack(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
