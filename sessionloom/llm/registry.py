@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import conversations, mixing, near_duplicates, packing
+from sessionloom.llm import conversations, linkage, mixing, near_duplicates, packing
 
-_MODULES = (near_duplicates, conversations, packing, mixing)
+_MODULES = (linkage, near_duplicates, conversations, packing, mixing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
