@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.llm import conversations, linkage, mixing, near_duplicates, packing, spans
+from sessionloom.llm import conversations, linkage, mixing, near_duplicates, packing, personal, spans
 
-_MODULES = (linkage, near_duplicates, conversations, packing, mixing, spans)
+_MODULES = (linkage, personal, near_duplicates, conversations, packing, mixing, spans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
