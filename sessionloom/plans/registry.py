@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.plans import trees
+from sessionloom.plans import core, trees
 
-_MODULES = (trees,)
+_MODULES = (core, trees)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
