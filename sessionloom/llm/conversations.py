@@ -75,14 +75,15 @@ def _bounds(said: DataFrame, scratch: Scratch) -> DataFrame:
     return pairs.where("own").groupBy("session_id").agg(F.max(low).alias("low"), F.min(high).alias("high"))
 
 
-def conversations(sessions: DataFrame, messages: DataFrame, parts: DataFrame, texts: bool = True) -> tuple[DataFrame, DataFrame]:
+def conversations(sessions: DataFrame, messages: DataFrame, parts: DataFrame, texts: bool = True, stated_order: bool = True) -> tuple[DataFrame, DataFrame]:
     """(verdicts, turns).
 
     verdicts: a row for each session that messages or parts name: ``session_id``, ``reason`` (broken, empty,
     no_reply, infeasible, or null for a sound conversation), ``offset_ms`` of the assistant's clock. turns, of the
     sound ones: ``session_id``, ``turn_no`` from 0, ``role``, ``message_id``, ``t`` (ms, corrected), ``text``.
 
-    Null times sort first. Rows without an id or a session do not count. Of repeated rows the one in force holds.
+    Whether the last word is a user's is taken from the times as they are stated, then the id; without
+    ``stated_order`` from the corrected times. Null times sort first. Rows without an id or a session do not count. Of repeated rows the one in force holds.
     A turn is a user's or assistant's message that speaks; its text joins its parts in id order. Empty tables give
     empty results.
     """
@@ -94,19 +95,21 @@ def conversations(sessions: DataFrame, messages: DataFrame, parts: DataFrame, te
     speaks = F.col("text").isNotNull() & F.col("role").isin("user", "assistant")
     own = said.where("there").groupBy("session_id").agg(
         F.max(F.col("role").isNull()).alias("bad"), F.max(speaks).alias("any"), F.max(speaks & (F.col("role") == "user")).alias("user"),
-        F.max(F.when(speaks, F.struct("t", "message_id", "role"))).alias("last"),
+        *[F.max(F.when(speaks & (F.col("role") == r), F.struct("t", "message_id"))).alias(f"last_{r}") for r in ("user", "assistant")],
     )
     named = said.select(F.explode("sessions").alias("session_id"), F.col("there").isNull().alias("orphan")).groupBy("session_id").agg(F.max("orphan").alias("orphan"))
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     said = said.where("there")
     all_ = own.join(named, "session_id", "full").join(known, "session_id", "left")
     all_ = all_.join(_bounds(said.where(speaks), scratch), "session_id", "left")
+    offset = F.when(F.col("low") <= F.col("high"), F.least(F.greatest(F.lit(0), "low"), "high"))
+    offset = F.when(F.col("low").isNotNull() & F.col("high").isNotNull(), offset).otherwise(F.greatest(F.lit(0), F.coalesce("low", F.lit(0))) + F.least(F.lit(0), F.coalesce("high", F.lit(0))))
+    heard = F.struct((F.col("last_assistant.t") + (F.lit(0) if stated_order else F.coalesce(offset, F.lit(0)))).alias("t"), F.col("last_assistant.message_id"))
+    unanswered = F.col("last_assistant").isNull() | (F.col("last_user") > heard)
     reason = (
         F.when(~yes("known") | yes("bad") | yes("orphan"), "broken").when(~yes("any"), "empty")
-        .when(~yes("user") | (F.col("last.role") == "user"), "no_reply").when(F.col("low") > F.col("high"), "infeasible")
+        .when(~yes("user") | unanswered, "no_reply").when(F.col("low") > F.col("high"), "infeasible")
     )
-    offset = F.when(F.col("low") <= F.col("high"), F.least(F.greatest(F.lit(0), "low"), "high"))
-    offset = F.when(F.col("low").isNotNull() & F.col("high").isNotNull(), offset).otherwise(F.greatest(F.lit(0), F.coalesce("low", F.lit(0))) + F.least(F.lit(0), F.coalesce("high", F.lit(0))))
     verdicts = scratch.keep(all_.select("session_id", reason.alias("reason"), offset.cast("long").alias("offset_ms")), "verdicts")
     sound = verdicts.where(F.col("reason").isNull()).select("session_id", "offset_ms")
     turns = said.where(speaks).join(sound, "session_id")
