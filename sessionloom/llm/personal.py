@@ -97,7 +97,7 @@ _ADDRESSES = [
     ),
     (
         ("str.", "straße", "strasse", "weg ", "gasse ", "allee ", "platz ", "ring ", "damm ", "ufer "),
-        re.compile(rf"(?<![\w-])[A-ZÄÖÜ][\wäöüß-]*(?:(?<=\w)(?:stra(?:ß|ss)e|str\.|weg|gasse|allee|platz|ring|damm|ufer)|(?<=-)(?:Stra(?:ß|ss)e|Str\.|Weg|Gasse|Allee|Platz|Ring|Damm|Ufer)){_W}\d{{1,4}}(?:{_S}[a-zA-Z]\b)?{_JOIN}\d{{5}}{_W}{_CAP}(?:{_W}(?:am|an|im|bei|ob){_W}(?:der{_W})?{_CAP})?"),
+        re.compile(rf"(?<![A-Za-zÀ-ÿ0-9_-])[A-ZÄÖÜ][A-Za-zÀ-ÿ-]*(?:(?<=\w)(?:stra(?:ß|ss)e|str\.|weg|gasse|allee|platz|ring|damm|ufer)|(?<=-)(?:Stra(?:ß|ss)e|Str\.|Weg|Gasse|Allee|Platz|Ring|Damm|Ufer)){_W}\d{{1,4}}(?:{_S}[a-zA-Z]\b)?{_JOIN}\d{{5}}{_W}{_CAP}(?:{_W}(?:am|an|im|bei|ob){_W}(?:der{_W})?{_CAP})?"),
     ),
     (("号",), re.compile(rf"(?:[{_HAN}]{{2,3}}省)?(?:(?<![{_HAN}])[^\W\d_A-Za-z寄到送至在住往址为是于]{{2,4}}|(?![寄到送至在住往址为是于])[{_HAN}][{_HAN}])市(?:[{_HAN}]{{1,4}}[区县])?[{_HAN}]{{1,6}}[路街道巷]{_S}\d+{_S}号(?:{_S}\d+{_S}[室栋单元楼号]+)*")),
 ]

@@ -36,6 +36,7 @@ def values(text):
     ("寄到白渡市望桥路91号481室。", ("address", "白渡市望桥路91号481室")),
     ("lives at 75 bis avenue du Vieux-Lavoir, 00555 Montésol, says", ("address", "75 bis avenue du Vieux-Lavoir, 00555 Montésol")),
     ("to Altzollstr. 4b\n00400 Altfurten; ring", ("address", "Altzollstr. 4b 00400 Altfurten")),
+    ("寄到Lindenhofstr. 88, 00009 Altfurten。", ("address", "Lindenhofstr. 88, 00009 Altfurten")),
     ("livrer au 71, lower mill lane, brannock.", ("address", "71, lower mill lane, brannock")),
     ("PO Box 4002, Tullowby。 Two runs", ("address", "PO Box 4002, Tullowby")),
     ("问过W. Jaskohorne了", ("person_name", "W. Jaskohorne")),
