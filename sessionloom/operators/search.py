@@ -24,6 +24,13 @@ def _fields() -> list[Column]:
     return [*text, F.coalesce(F.array_join("domain", " "), F.lit(""))]
 
 
+def _occurrences(text: Column, word: str) -> Column:
+    """Overlapping occurrences; a word that cannot overlap itself is counted without a regular expression."""
+    low = word.lower()
+    overlaps = any(low.startswith(low[i:]) for i in range(1, len(low)))
+    return count_overlapping(text, word) if overlaps else count_apart(text, word)
+
+
 def metadata(df: DataFrame, project: str | None = None, kind: str | None = None, status: str | None = None, min_confidence: float | None = None) -> DataFrame:
     for c, v in (("project", project), ("type", kind), ("status", status)):
         if v:
@@ -40,9 +47,9 @@ def bm25(df: DataFrame, query: str, limit: int | None = None, **filters) -> Data
     words = [t for t in query_tokens(query) if len(t) >= 3]
     if not words:
         return df.limit(0).withColumn("score", F.lit(0.0))
-    fields = _fields()
+    fields, whole = _fields(), F.concat_ws("\x1f", *_fields())  # no word spans the separator
     t = df.withColumn("_d", reduce(add, [F.greatest(F.length(f) - 2, F.lit(0)) for f in fields]).cast("double"))
-    t = t.withColumns({f"_f{i}": reduce(add, [count_overlapping(f, w) for f in fields]).cast("double") for i, w in enumerate(words)})
+    t = t.withColumns({f"_f{i}": _occurrences(whole, w).cast("double") for i, w in enumerate(words)})
     totals = t.agg(F.count(F.lit(1)).alias("_n"), F.avg("_d").alias("_avg"), *[F.sum((F.col(f"_f{i}") > 0).cast("long")).alias(f"_n{i}") for i in range(len(words))])
     t = metadata(t, **filters).where(reduce(or_, [F.col(f"_f{i}") > 0 for i in range(len(words))])).crossJoin(F.broadcast(totals))  # one row
 
