@@ -9,16 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.textsim import ALIKE, BUCKET, class_id, meeting, split_large, tensored_keys, verified, word_hashes
+from sessionloom.llm.textsim import ALIKE, BUCKET, WIDE, class_id, meeting_tensored, split_large, verified, word_hashes
 from sessionloom.operators.components import components
 from sessionloom.runtime import Scratch, in_force, table
 
-#: Bands of each collection and minhashes of a band: a pair alike to 0.65 meets with probability 0.988, to 0.7 with
-#: 0.998, to 0.8 with 0.9999; a pair alike to 0.1 with 0.0003.
-BANDS, ROWS = 16, 3
+#: Bands of each collection and minhashes of a band: a pair alike to 0.6 meets with probability 0.93, to 0.65 with
+#: 0.98, to 0.7 with 0.997, to 0.8 with 0.99998; a pair alike to 0.15 with 0.0002, to 0.1 with 0.000006.
+BANDS, ROWS = 24, 4
 
 
-def near_duplicates(records: DataFrame, threshold: float = ALIKE, bands: int = BANDS, rows: int = ROWS, bucket: int = BUCKET) -> DataFrame:
+def near_duplicates(records: DataFrame, threshold: float = ALIKE, bands: int = BANDS, rows: int = ROWS, bucket: int = BUCKET, wide: int = WIDE) -> DataFrame:
     """For records (id, text): ``id``, ``class_id`` (equal for equal word sets), ``group_id`` (the least id of the
     group that alike steps join), ``links`` (alike classes besides its own).
 
@@ -30,8 +30,7 @@ def near_duplicates(records: DataFrame, threshold: float = ALIKE, bands: int = B
     members = scratch.keep(own.select("id", word_hashes("text").alias("words")).withColumn("class_id", class_id(F.col("words"))), "members")
     sets = members.where(F.size("words") > 0).groupBy(F.col("class_id").alias("id")).agg(F.first("words").alias("words"))
     sets = scratch.keep(sets, "sets")
-    keyed = sets.select("id", F.explode(tensored_keys(bands, rows)(F.col("words"))).alias("key")).select("key", "id")
-    pairs, large = meeting(keyed, scratch, bucket)
+    pairs, large = meeting_tensored(sets, scratch, bands, rows, bucket, wide)
     links = verified(pairs, sets, threshold)
     more = split_large(large, sets, scratch, threshold)
     links = scratch.keep((links if more is None else links.unionByName(more)).distinct(), "links")

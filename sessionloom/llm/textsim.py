@@ -71,25 +71,97 @@ def bands(words: np.ndarray, count: int, rows: int, seed: int) -> np.ndarray:
     return key
 
 
-def tensored_keys(count: int, rows: int, seed: int = 1) -> Column | object:
-    """Table keys from pairs of band keys: ``count`` bands from each of two collections give count * count keys.
+#: Rows of one band of the first collection that a task combines itself; more are sent on by their table keys.
+WIDE = 4096
 
-    2 * count * rows minhashes take the place of 2 * count * count * rows. A pair of similarity s meets in a table
-    with probability (1 - (1 - s**rows) ** count) ** 2.
+
+def _combined(most: int, count: int, wide: int):
+    """Rows (key, id, other) sorted by key, ``other`` holding ``count`` 16-bit bands of the second collection, to pairs
+    (a, b) that share a table key, that is a key and one of the other bands.
+
+    kind 0: a pair. kind 1: (table key, id) of a table with more than ``most`` ids. kind 2: (table key, id) of a band
+    key with more than ``wide`` rows, which are not held here.
     """
 
-    @F.pandas_udf("array<long>")
-    def run(words: pd.Series) -> pd.Series:
-        place = np.arange(count * count, dtype=np.uint64).reshape(count, count)
-        out = []
-        for w in words:
-            one, two = bands(w, count, rows, seed), bands(w, count, rows, seed + 1)
-            out.append(_mix(one[:, None] * np.uint64(3) + _mix(two + place)).view(np.int64).ravel())
-        return pd.Series(out)
+    def tables(key: np.ndarray, other: np.ndarray) -> np.ndarray:
+        place = np.arange(count, dtype=np.uint64) << np.uint64(16)
+        return _mix(_mix(key.view(np.uint64))[:, None] + (place | other.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+    def close(key: np.ndarray, id_: np.ndarray, other: np.ndarray):
+        """All of some whole bands."""
+        lone = np.ones(len(key), bool)
+        lone[1:] &= key[1:] != key[:-1]
+        lone[:-1] &= key[1:] != key[:-1]
+        key, id_, other = key[~lone], id_[~lone], other[~lone]
+        if not len(key):
+            return
+        table, ids = tables(key, other).ravel(), np.repeat(id_, count)
+        order = np.argsort(table, kind="stable")
+        table, ids = table[order], ids[order]
+        cut = np.flatnonzero(np.concatenate([[True], table[1:] != table[:-1], [True]]))
+        size = np.diff(cut)
+        two = cut[:-1][size == 2]
+        out = [(ids[two], ids[two + 1], np.zeros(len(two), np.int32))]
+        for s, n in zip(cut[:-1][size > 2], size[size > 2], strict=True):
+            if n > most:
+                out.append((table[s : s + n], ids[s : s + n], np.ones(n, np.int32)))
+            else:
+                i, j = np.triu_indices(n, 1)
+                out.append((ids[s + i], ids[s + j], np.zeros(len(i), np.int32)))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "kind"])
+
+    def run(batches):
+        held, over = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, id_ = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            other = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, count)
+            if held is not None:
+                key, id_, other = (np.concatenate(x) for x in zip(held, (key, id_, other), strict=True))
+            last = np.searchsorted(key, key[-1])
+            done = slice(0, last)
+            if over is not None and key[0] == over:  # the rest of a band that is too wide
+                end = np.searchsorted(key, over, "right")
+                yield pa.RecordBatch.from_arrays([pa.array(tables(key[:end], other[:end]).ravel()), pa.array(np.repeat(id_[:end], count)), pa.array(np.full(end * count, 2, np.int32))], ["a", "b", "kind"])
+                done = slice(end, max(end, last))
+            yield from close(key[done], id_[done], other[done])
+            start = max(done.stop, last)
+            held = (key[start:], id_[start:], other[start:])
+            if len(held[0]) > wide:
+                over = held[0][0]
+                yield pa.RecordBatch.from_arrays([pa.array(tables(held[0], held[2]).ravel()), pa.array(np.repeat(held[1], count)), pa.array(np.full(held[2].size, 2, np.int32))], ["a", "b", "kind"])
+                held = None
+        if held is not None:
+            yield from close(*held)
 
     return run
 
 
+def meeting_tensored(sets: DataFrame, scratch, count: int, rows: int, most: int, wide: int = WIDE, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(pairs a < b, rows (bucket, id) of large tables) of sets (id, words) by tensored banding.
+
+    ``count`` bands of ``rows`` minhashes from each of two collections, combined pair by pair, stand for count * count
+    tables: 2 * count * rows minhashes take the place of 2 * count * count * rows, and a pair of similarity s meets
+    with probability (1 - (1 - s**rows) ** count) ** 2. A class is sent once for each band of the first collection,
+    with its bands of the second (of which 16 bits are kept; exact comparison follows), and the table keys are formed
+    where equal first bands meet.
+    """
+
+    @F.pandas_udf("keys array<long>, other binary")
+    def banded(words: pd.Series) -> pd.DataFrame:
+        place = np.arange(count, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        one = [_mix(bands(w, count, rows, seed) + place).view(np.int64) for w in words]
+        two = [(bands(w, count, rows, seed + 1) >> np.uint64(48)).astype(np.uint16).tobytes() for w in words]
+        return pd.DataFrame({"keys": one, "other": two})
+
+    sent = sets.select("id", banded("words").alias("b")).select(F.explode("b.keys").alias("key"), "id", F.col("b.other").alias("other"))
+    met = sent.repartition("key").sortWithinPartitions("key").mapInArrow(_combined(most, count, wide), "a long, b long, kind int")
+    met = scratch.keep(met.select(F.when(F.col("kind") == 0, F.least("a", "b")).otherwise(F.col("a")).alias("a"), F.when(F.col("kind") == 0, F.greatest("a", "b")).otherwise(F.col("b")).alias("b"), "kind").distinct(), "combined")
+    pairs, large = meeting(met.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("id")), scratch, most)
+    return met.where("kind = 0 AND a < b").select("a", "b").union(pairs).distinct(), met.where("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("id")).union(large)
+
+
 def band_keys(count: int, rows: int, seed: int = 7):
     @F.pandas_udf("array<long>")
     def run(words: pd.Series) -> pd.Series:

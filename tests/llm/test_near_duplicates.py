@@ -41,10 +41,10 @@ def corpus(seed, copies):
     return texts
 
 
-@pytest.mark.parametrize(("copies", "bucket"), [(5, 48), (60, 8)])
-def test_groups_equal_brute_force_with_small_and_large_buckets(spark, copies, bucket):
+@pytest.mark.parametrize(("copies", "bucket", "wide"), [(5, 48, 4096), (60, 8, 4096), (60, 48, 10), (60, 8, 10)])
+def test_groups_equal_brute_force_with_small_and_large_buckets(spark, copies, bucket, wide):
     texts = corpus(copies, copies)
-    rows = near_duplicates(spark.createDataFrame(list(texts.items()), "id string, text string"), bucket=bucket).collect()
+    rows = near_duplicates(spark.createDataFrame(list(texts.items()), "id string, text string"), bucket=bucket, wide=wide).collect()
     assert {r.id: r.group_id for r in rows} == brute(texts)
 
 
