@@ -47,6 +47,12 @@ class Scratch:
             spark.sparkContext.setCheckpointDir(root)
         self.path = os.path.join(root, f"{label}-{uuid.uuid4().hex[:12]}")
 
+    def part(self, name: str) -> Scratch:
+        """A folder of its own inside this one."""
+        inner = object.__new__(Scratch)
+        inner.spark, inner.path = self.spark, f"{self.path}/{name}"
+        return inner
+
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Writes df and returns it as a scan of what was written."""
         where = f"{self.path}/{name}"
