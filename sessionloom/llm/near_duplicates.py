@@ -20,7 +20,8 @@ BANDS, ROWS = 24, 4
 
 def near_duplicates(records: DataFrame, threshold: float = ALIKE, bands: int = BANDS, rows: int = ROWS, bucket: int = BUCKET, wide: int = WIDE) -> DataFrame:
     """For records (id, text): ``id``, ``class_id`` (equal for equal word sets), ``group_id`` (the least id of the
-    group that alike steps join), ``links`` (alike classes besides its own).
+    group that alike steps join), ``links`` (alike classes besides its own; of tables with more classes than ``bucket``
+    only those that join groups), ``size`` (of the group).
 
     A null text is an empty one; a text without words is alike to none and is its own group. Rows without id are
     left out; of several rows of one id the one with the greatest text counts. Empty input gives an empty result.
@@ -31,9 +32,19 @@ def near_duplicates(records: DataFrame, threshold: float = ALIKE, bands: int = B
     sets = members.where(F.size("words") > 0).groupBy(F.col("class_id").alias("id")).agg(F.first("words").alias("words"))
     sets = scratch.keep(sets, "sets")
     pairs, large = meeting_tensored(sets, scratch, bands, rows, bucket, wide)
-    links = verified(pairs, sets, threshold)
-    more = split_large(large, sets, scratch, threshold)
-    links = scratch.keep((links if more is None else links.unionByName(more)).distinct(), "links")
+    links = scratch.keep(verified(pairs, sets, threshold), "verified")
+    if not large.isEmpty():
+        large = scratch.keep(large, "large")
+        # A class of a large group stands in very many large tables. One of them is worked on first; tables whose
+        # classes are all in one group by then have nothing left to join.
+        first = split_large(large.groupBy("id").agg(F.min("bucket").alias("bucket")), sets, scratch.part("first"), threshold)
+        links = scratch.keep(links.unionByName(first), "joined")
+        root = components(links.select("a", "b"), scratch.part("roots")).withColumnRenamed("node", "id")
+        rooted = large.join(root, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        mixed = rooted.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("bucket")
+        more = split_large(large.join(mixed, "bucket", "left_semi"), sets, scratch.part("rest"), threshold)
+        links = links if more is None else links.unionByName(more)
+    links = scratch.keep(links.distinct(), "links")
     joined = components(links.select("a", "b"), scratch)
     degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
     root = joined.select(F.col("node").alias("class_id"), "root")
