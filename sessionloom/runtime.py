@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,20 @@ def session(cores: str | int = "*", **conf: str) -> SparkSession:
     return builder.config(map=base | conf).getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for each context, wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_sessionloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="sessionloom-"), "sessionloom.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for p in sorted(root.rglob("*.py")):
+            out.write(p, p.relative_to(root.parent))
+    context.addPyFile(archive)
+    context._sessionloom_shipped = True
+
+
 class Scratch:
     """Intermediate tables under ``spark.checkpoint.dir``.
 
