@@ -19,7 +19,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sessionloom.runtime import Scratch, small, table
@@ -192,6 +192,28 @@ def _common(backward: bool):
     return run
 
 
+def _chains(shift: DataFrame, width: int) -> DataFrame:
+    """Equal stretches of ``width`` characters (a, b, pa, shift) to (n, a, b, shift, lo, hi) where they touch."""
+    line = Window.partitionBy("a", "b", "shift").orderBy("pa")
+    chained = shift.withColumn("new", (F.col("pa") - F.lag("pa", 1, -10 * width).over(line) > width).cast("int"))
+    chained = chained.withColumn("chain", F.sum("new").over(line)).groupBy("a", "b", "shift", "chain").agg(F.min("pa").alias("lo"), (F.max("pa") + width).alias("hi"))
+    return chained.select(F.monotonically_increasing_id().alias("n"), "a", "b", "shift", "lo", "hi")
+
+
+def _grown(d: DataFrame, chains: DataFrame, count: int, reach: int) -> DataFrame:
+    """The ``count`` chains with ``l`` and ``r``: by how many characters, ``reach`` at most, the texts are equal on either side."""
+    ends = chains.select("n", F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.lit(0).alias("side"), "lo", "hi"), F.struct(F.col("b").alias("doc_id"), F.lit(1).alias("side"), (F.col("lo") + F.col("shift")).alias("lo"), (F.col("hi") + F.col("shift")).alias("hi")))).alias("e")).select("n", "e.*")
+    cut = d.join(small(ends, 2 * count), "doc_id").select(
+        "n", "side", F.substring("text", F.greatest(F.lit(1), F.col("lo") + 1 - reach), F.least(F.lit(reach), F.col("lo"))).alias("left"), F.substring("text", F.col("hi") + 1, F.lit(reach)).alias("right"),
+    )
+    sides = cut.groupBy("n").agg(*[F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}{s}") for s in (0, 1) for c in ("left", "right")])
+    return chains.join(sides, "n").withColumns({"l": _common(True)("left0", "left1"), "r": _common(False)("right0", "right1")})
+
+
+def _ends(lo: Column, hi: Column) -> list[Column]:
+    return [F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), lo.alias("start_a"), (lo + F.col("shift")).alias("start_b"), (hi - lo).alias("length")]
+
+
 def shared_spans(docs: DataFrame, least: int = LEAST, window: int = WINDOW, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
     """(spans, hot) of docs (doc_id, text).
 
@@ -207,21 +229,9 @@ def shared_spans(docs: DataFrame, least: int = LEAST, window: int = WINDOW, buck
     met = keyed.repartition("key").sortWithinPartitions("key", "doc", "pos").mapInArrow(_meet(bucket), "a long, pa int, b long, pb int, hot boolean")
     met = scratch.keep(met, "met")
     shift = met.where(~F.col("hot")).select("a", "b", "pa", (F.col("pb") - F.col("pa")).alias("shift")).distinct()
-    line = Window.partitionBy("a", "b", "shift").orderBy("pa")
-    chained = shift.withColumn("new", (F.col("pa") - F.lag("pa", 1, -10 * window).over(line) > window).cast("int"))
-    chained = chained.withColumn("chain", F.sum("new").over(line)).groupBy("a", "b", "shift", "chain").agg(F.min("pa").alias("lo"), (F.max("pa") + window).alias("hi"))
-    chains = scratch.keep(chained.select(F.monotonically_increasing_id().alias("n"), "a", "b", "shift", "lo", "hi"), "chains")
-    count = chains.count()
-    # The text on both sides of each chain, as far as another window would have been met.
-    reach = 2 * least
-    ends = chains.select("n", F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.lit(0).alias("side"), "lo", "hi"), F.struct(F.col("b").alias("doc_id"), F.lit(1).alias("side"), (F.col("lo") + F.col("shift")).alias("lo"), (F.col("hi") + F.col("shift")).alias("hi")))).alias("e")).select("n", "e.*")
-    cut = d.join(small(ends, 2 * count), "doc_id").select(
-        "n", "side", F.substring("text", F.greatest(F.lit(1), F.col("lo") + 1 - reach), F.least(F.lit(reach), F.col("lo"))).alias("left"), F.substring("text", F.col("hi") + 1, F.lit(reach)).alias("right"),
-    )
-    sides = cut.groupBy("n").agg(*[F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}{s}") for s in (0, 1) for c in ("left", "right")])
-    grown = chains.join(sides, "n").withColumns({"l": _common(True)("left0", "left1"), "r": _common(False)("right0", "right1")})
-    spans = grown.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), (F.col("lo") - F.col("l")).alias("start_a"), (F.col("lo") + F.col("shift") - F.col("l")).alias("start_b"), (F.col("hi") - F.col("lo") + F.col("l") + F.col("r")).alias("length"))
-    spans = scratch.keep(spans.where(F.col("length") >= least).distinct(), "spans")
+    chains = scratch.keep(_chains(shift, window), "chains")
+    grown = _grown(d, chains, chains.count(), 2 * least)  # as far as another window would have been met
+    spans = scratch.keep(grown.select(*_ends(F.col("lo") - F.col("l"), F.col("hi") + F.col("r"))).where(F.col("length") >= least).distinct(), "spans")
 
     places = met.where("hot").select(F.col("a").alias("doc_id"), F.col("pa").alias("pos")).distinct()
     if places.isEmpty():
@@ -238,6 +248,41 @@ def shared_spans(docs: DataFrame, least: int = LEAST, window: int = WINDOW, buck
     return spans, scratch.keep(hot.join(many, "key", "left_semi"), "hot")
 
 
+def whole_spans(docs: DataFrame, least: int = LEAST, window: int = WINDOW, bucket: int = BUCKET) -> DataFrame:
+    """(doc_a < doc_b, start_a, start_b, length, many): whole common spans, none of them longer on either side.
+
+    ``many`` is false for pairs of places that few others share; all of these are listed. A stretch of ``least``
+    characters that stands at many places is listed against one of them only, the first place in the least document (places
+    of that document itself against the greatest one): two places share what their spans have in common there.
+    So the rows grow with the places, not with their pairs, and every place of a shared stretch lies in a row.
+    """
+    scratch = Scratch(docs.sparkSession, "whole-spans")
+    d = docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= least)).select("doc_id", "text")
+    spans, hot = shared_spans(docs, least, window, bucket)
+    reach = 2 * least
+    whole = [spans.where(F.col("length") < reach + window).withColumn("many", F.lit(False))]
+    # A span this long may have been cut where its text is hot.
+    long = spans.where(F.col("length") >= reach + window).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), (F.col("start_b") - F.col("start_a")).alias("shift"), F.col("start_a").alias("lo"), (F.col("start_a") + F.col("length")).alias("hi"), F.lit(False).alias("many"))
+    first = hot.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("x"), F.max(F.struct("doc_id", -F.col("start"))).alias("y"))
+    met = hot.join(first, "key").where((F.col("doc_id") != F.col("x.doc_id")) | (F.col("start") != F.col("x.start")))
+    own = F.col("doc_id") == F.col("x.doc_id")
+    met = met.select(F.col("x.doc_id").alias("a"), F.when(own, F.col("y.doc_id")).otherwise(F.col("doc_id")).alias("b"), F.when(own, F.col("start")).otherwise(F.col("x.start")).alias("pa"), F.when(own, -F.col("y.col2")).otherwise(F.col("start")).alias("pb"))
+    shift = met.select("a", "b", "pa", (F.col("pb") - F.col("pa")).alias("shift")).distinct()
+    open_ = long.unionByName(_chains(shift, least).drop("n").withColumn("many", F.lit(True)))
+    step = 0
+    while True:
+        chains = scratch.keep(open_.select(F.monotonically_increasing_id().alias("n"), "a", "b", "shift", "lo", "hi", "many"), f"chains{step}")
+        grown = _grown(d, chains, chains.count(), reach)
+        grown = scratch.keep(grown.select("a", "b", "shift", (F.col("lo") - F.col("l")).alias("lo"), (F.col("hi") + F.col("r")).alias("hi"), "many", ((F.col("l") >= reach) | (F.col("r") >= reach)).alias("open")), f"grown{step}")
+        whole.append(grown.where(~F.col("open")).select(*_ends(F.col("lo"), F.col("hi")), "many"))
+        open_ = grown.where("open").drop("open").distinct()
+        if open_.isEmpty():
+            break
+        step, reach = step + 1, 4 * reach
+    out = functools.reduce(DataFrame.unionByName, whole)
+    return out.groupBy("doc_a", "doc_b", "start_a", "start_b", "length").agg(F.max("many").alias("many"))
+
+
 def covered(spans: DataFrame, hot: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, shared_chars): characters of each document that stand in another one too, in stretches of ``least``.
 
@@ -261,7 +306,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared_spans(table(spark, sf_dir, "documents"))[0]
+    """Whole common spans; a stretch at many places is listed against one of them (see ``whole_spans``)."""
+    return whole_spans(table(spark, sf_dir, "documents"))
 
 
 def p8_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from sessionloom.llm.spans import covered, shared_spans, symbols
+from sessionloom.llm.spans import covered, p8_spans, shared_spans, symbols, whole_spans
 
 
 def brute(texts, least):
@@ -67,9 +67,49 @@ def test_pairs_and_coverage_equal_brute_force(spark, seed, hot, bucket):
         assert texts[r.doc_a][r.start_a : r.start_a + r.length] == texts[r.doc_b][r.start_b : r.start_b + r.length]
 
 
+@pytest.mark.parametrize(("seed", "hot", "bucket"), [(1, 3, 64), (2, 12, 4)])
+def test_whole_spans_reach_every_shared_place(spark, seed, hot, bucket):
+    texts = corpus(seed, hot)
+    pairs, marks = brute(texts, 200)
+    rows = whole_spans(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), bucket=bucket).collect()
+    seen, got, by = {}, set(), {}
+    for r in rows:
+        a, b, n = texts[r.doc_a], texts[r.doc_b], r.length
+        i, j = r.start_a, r.start_b
+        assert a[i : i + n] == b[j : j + n] and n >= 200 and r.doc_a < r.doc_b
+        assert i == 0 or j == 0 or a[i - 1] != b[j - 1]
+        assert i + n == len(a) or j + n == len(b) or a[i + n] != b[j + n]
+        got.add((r.doc_a, r.doc_b))
+        for doc, at in ((r.doc_a, i), (r.doc_b, j)):
+            seen.setdefault(doc, set()).update(range(at, at + n))
+        if r.many:
+            by.setdefault(r.doc_a, []).append((i, i + n, r.doc_b))
+    for places in by.values():  # two places share what their spans have in common at the one place
+        got |= {tuple(sorted((x[2], y[2]))) for x, y in combinations(places, 2) if x[2] != y[2] and min(x[1], y[1]) - max(x[0], y[0]) >= 200}
+    assert got == pairs
+    share = {doc: len(m) for doc, m in seen.items()}
+    assert share.pop(42) >= 600 and marks.pop(42) == 800
+    assert share == marks
+
+
+def test_header_on_more_places_than_the_bucket(spark, tmp_path):
+    rng = random.Random(8)
+    header = prose(rng, 90)[:260]
+    texts = {i: header + chr(0x4E00 + i) + prose(rng, 60) for i in range(70)}
+    ends = [prose(rng, 400)[:900] for _ in range(2)]  # a span of two texts with the header, hot, in its middle
+    middle = ends[0] + "".join(header for _ in range(8)) + ends[1]
+    texts[70], texts[71] = "<a" + middle + "b>", "<c" + middle + "d>"
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = p8_spans(spark, str(tmp_path)).collect()
+    assert {(0, i, 0, 0, 260) for i in range(1, 70)} <= {(r.doc_a, r.doc_b, r.start_a, r.start_b, r.length) for r in rows}
+    assert {(r.start_a, r.start_b) for r in rows if (r.doc_a, r.doc_b, r.length) == (70, 71, len(middle))} == {(2, 2)}
+    assert not any((r.doc_a, r.doc_b) == (70, 71) and r.start_a == r.start_b and r.length < len(middle) for r in rows)
+
+
 def test_no_documents(spark):
     spans, hot = shared_spans(spark.createDataFrame([], "doc_id long, text string"))
     assert spans.count() == hot.count() == 0
+    assert whole_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def test_equal_stretches_begin_symbols_alike():
