@@ -160,13 +160,25 @@ def ledger_stats(spark, sf_dir):
     return t.groupBy("pipeline_version").agg(F.countDistinct("session_id", "content_hash").alias("runs"), F.countDistinct("session_id").alias("sessions"), F.max("processed_at").alias("last"))
 
 
-def unprocessed_sessions(spark, sf_dir):
-    """Root sessions that have been still for six hours at the fixed clock and that the ledger of version 1 lacks."""
+def _still_sessions(spark, sf_dir):
+    """Root sessions that have been still for six hours at the fixed clock."""
     s = in_force(table(spark, sf_dir, "sessions"), "id", "time_updated", ["id", "time_updated", "parent_id", "directory"])
     still = F.timestamp_millis("time_updated") <= F.to_timestamp(F.lit(NOW)) - F.expr("INTERVAL 6 HOURS")
-    s = s.where(F.coalesce(F.trim("parent_id"), F.lit("")).isin("", "null") & still).withColumnRenamed("id", "session_id")
+    return s.where(F.coalesce(F.trim("parent_id"), F.lit("")).isin("", "null") & still).withColumnRenamed("id", "session_id")
+
+
+def unprocessed_sessions(spark, sf_dir):
+    """Still root sessions that the ledger of version 1 lacks in any state; ``unprocessed_versions`` has the changed ones too."""
+    done = table(spark, sf_dir, "ledger").where("pipeline_version = '1'")
+    return rec.unprocessed(_still_sessions(spark, sf_dir), done, ["session_id"]).select("session_id", fx.project_slug("directory").alias("project"), fx.iso_ms("time_updated").alias("time_end"))
+
+
+def unprocessed_versions(spark, sf_dir):
+    """Still root sessions whose present rendering the ledger of version 1 lacks; one without turns has the hash of an empty body."""
+    r = transcript_render(spark, sf_dir).select("session_id", "content_hash")
+    s = _still_sessions(spark, sf_dir).join(r, "session_id", "left").withColumn("content_hash", F.coalesce("content_hash", fx.short_hash(F.lit(""))))
     done = table(spark, sf_dir, "ledger").where("pipeline_version = '1'")
-    return rec.unprocessed(s, done, ["session_id"]).select("session_id", fx.project_slug("directory").alias("project"), fx.iso_ms("time_updated").alias("time_end"))
+    return rec.unprocessed(s, done, ["session_id", "content_hash"]).select("session_id", "content_hash", fx.project_slug("directory").alias("project"), fx.iso_ms("time_updated").alias("time_end"))
 
 
 def session_models(spark, sf_dir):
@@ -209,7 +221,7 @@ def access_stats(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     search_bm25, search_memory, search_like, search_weighted_scan, counts_by_status_and_type, domain_counts, project_counts, catalog_order, record_confidence, record_ids, linked_records,
     evidence_union, cross_project_records, title_classes, title_links, clusters, candidate_validation, pool_dedup, salience_consensus, nearest_memories, secret_scan, anchor_counts,
-    ledger_latest, ledger_stats, unprocessed_sessions, session_models, transcript_render, part_type_counts, upsert_merge, rule_scorecard, access_stats,
+    ledger_latest, ledger_stats, unprocessed_sessions, unprocessed_versions, session_models, transcript_render, part_type_counts, upsert_merge, rule_scorecard, access_stats,
 )}
 
 # ---- oracle SQL
@@ -331,3 +343,6 @@ SELECT coalesce(n.id, b.id) AS id, coalesce(n.updated_at, b.updated_at) AS updat
         f"SELECT '{n}' AS rule, count(*) AS hits, count(*) >= {least} AS met FROM c WHERE {'type IN (' + ', '.join(repr(x) for x in types) + ')' if types else 'true'} AND " + " AND ".join(f"contains(t, '{k}')" for k in kw) for n, types, kw, least in RULES),
     "access_stats": "SELECT user_id, count(*) AS access_count, max(ts) AS last_accessed FROM events WHERE event_type = 'view' GROUP BY 1",
 }
+ORACLE["unprocessed_versions"] = f"""WITH {_SES}, cur AS (SELECT ses.*, coalesce(r.content_hash, 'sha256:' || left(sha256(''), 16)) AS h FROM ses LEFT JOIN ({ORACLE['transcript_render']}) r ON r.session_id = ses.id)
+SELECT id AS session_id, h AS content_hash, {_SLUG} AS project, strftime(make_timestamp(time_updated * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS time_end FROM cur
+WHERE coalesce(trim(parent_id), '') IN ('', 'null') AND time_updated <= 1781481600000 - 21600000 AND NOT EXISTS (SELECT 1 FROM ledger WHERE pipeline_version = '1' AND ledger.session_id = cur.id AND ledger.content_hash = h)"""

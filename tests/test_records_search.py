@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from sessionloom.operators import records as rec
 from sessionloom.operators import search, transcripts
 from sessionloom.operators.prefix_join import nearest, similar_classes
+from sessionloom.plans import core
 
 ROWS = "id string, title string, trigger_text string, lesson string, domain array<string>, project string, type string, status string, confidence double, updated_at string"
 
@@ -132,3 +134,17 @@ def test_nearest(spark):
     q = spark.createDataFrame([("q", "red fox"), ("r", None)], "query_id string, text string")
     d = spark.createDataFrame([("a", "red red fox"), ("b", "red"), ("c", "blue"), (None, "red")], "id string, text string")
     assert [(r.id, r.rank) for r in nearest(q, d, 2).orderBy("rank").collect()] == [("a", 1), ("b", 2)]
+
+
+def test_changed_session_is_unprocessed_again(spark, tmp_path):
+    when = "time_created long, time_updated long, data string, loaded_at timestamp"
+    write = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    write("sessions", [(i, 1, None, "/x/p", None) for i in ("same", "changed", "older", "empty", "new")], "id string, time_updated long, parent_id string, directory string, loaded_at timestamp")
+    said = ("same", "changed", "older", "new")
+    write("messages", [(f"m-{i}", i, 60000, 1, '{"role":"user"}', None) for i in said], f"id string, session_id string, {when}")
+    write("parts", [(f"p-{i}", f"m-{i}", i, 1, 1, '{"type":"text","text":"hi"}', None) for i in said], f"id string, message_id string, session_id string, {when}")
+    hashed = {i: "sha256:" + hashlib.sha256(b.encode()).hexdigest()[:16] for i, b in {**{i: f"## T1 [00:01] User {{#m-{i}}}\n\nhi\n" for i in said}, "empty": ""}.items()}
+    ledger = [("same", hashed["same"], "1"), ("changed", "sha256:00", "1"), ("older", hashed["older"], "0"), ("empty", hashed["empty"], "1"), (None, hashed["new"], "1")]
+    write("ledger", ledger, "session_id string, content_hash string, pipeline_version string")
+    got = {(r.session_id, r.content_hash) for r in core.unprocessed_versions(spark, str(tmp_path)).collect()}
+    assert got == {(i, hashed[i]) for i in ("changed", "older", "new")}
