@@ -13,9 +13,9 @@ from sessionloom.llm.textsim import ALIKE, BUCKET, WIDE, class_id, meeting_tenso
 from sessionloom.operators.components import components
 from sessionloom.runtime import Scratch, in_force, table
 
-#: Bands of each collection and minhashes of a band: a pair alike to 0.6 meets with probability 0.93, to 0.65 with
-#: 0.98, to 0.7 with 0.997, to 0.8 with 0.99998; a pair alike to 0.15 with 0.0002, to 0.1 with 0.000006.
-BANDS, ROWS = 24, 4
+#: Bands of each collection and minhashes of a band: a pair alike to 0.6 meets with probability 0.9997, to 0.65 with
+#: 0.999993; a pair alike to 0.15 with 0.001, to 0.1 with 0.00004.
+BANDS, ROWS = 64, 4
 
 
 def near_duplicates(records: DataFrame, threshold: float = ALIKE, bands: int = BANDS, rows: int = ROWS, bucket: int = BUCKET, wide: int = WIDE) -> DataFrame:

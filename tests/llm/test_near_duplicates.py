@@ -62,3 +62,14 @@ def test_nulls_empty_long_and_clashing_columns(spark):
     empty = spark.createDataFrame([], "id string, text string")
     assert near_duplicates(empty).count() == 0
     assert empty.select(word_hashes("text")).count() == 0
+
+
+def test_pairs_at_the_threshold_are_not_missed(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(20000)]
+    texts = {}
+    for n in range(400):  # 60 of 100 words in common
+        w = rng.sample(words, 100)
+        texts[f"{n}-a"], texts[f"{n}-b"] = " ".join(w[:80]), " ".join(w[:60] + w[80:])
+    rows = near_duplicates(spark.createDataFrame(list(texts.items()), "id string, text string")).collect()
+    assert sum(r.size == 1 for r in rows) / 2 <= 2
