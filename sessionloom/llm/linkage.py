@@ -26,9 +26,9 @@ from sessionloom.llm.textsim import ALIKE, band_keys, class_id, jaccard, meeting
 from sessionloom.operators.components import components
 from sessionloom.runtime import Scratch, in_force, small, table
 
-#: Bands and minhashes of a band: a pair alike to 0.6 meets with probability 0.97, to 0.65 with 0.996, to 0.7 with
-#: 0.9998; a pair alike to 0.15 with 0.0008, to 0.1 with 0.00007.
-BANDS, ROWS = 72, 6
+#: Bands and minhashes of a band: a pair alike to 0.6 meets with probability 0.999, to 0.65 with 0.99998; a pair alike
+#: to 0.15 with 0.002, to 0.1 with 0.0001.
+BANDS, ROWS = 144, 6
 #: Keys in a folder of the kept key table.
 BUCKET_KEYS = 2_000_000
 _LEVELS = (0.3, 0.6, 0.85)

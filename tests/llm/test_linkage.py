@@ -2,8 +2,9 @@ import random
 
 import numpy as np
 
+from sessionloom.llm import linkage
 from sessionloom.llm.linkage import Linker, learn_weights
-from sessionloom.llm.textsim import word_set
+from sessionloom.llm.textsim import bands, word_set
 from sessionloom.runtime import Scratch
 
 
@@ -93,3 +94,13 @@ def test_weights_rise_with_agreement():
     w = learn_weights(patterns)
     assert (w[:, 3] > w[:, 0]).all() and (w[:, 3] > 0).all() and (w[:, 0] < 0).all()
     assert learn_weights([]).shape == (2, 4)
+
+
+def test_pairs_at_the_threshold_share_a_band():
+    rng = np.random.default_rng(3)
+    missed = 0
+    for _ in range(2000):  # 60 of 100 words in common
+        w = rng.integers(0, 2**62, 100, dtype=np.int64)
+        a, b = (bands(x, linkage.BANDS, linkage.ROWS, 7) for x in (w[:80], np.concatenate([w[:60], w[80:]])))
+        missed += not (a == b).any()
+    assert missed <= 8
