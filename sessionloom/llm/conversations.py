@@ -1,21 +1,26 @@
 """Rebuilding conversations from message rows (problem 5).
 
-Turns are put in order after the clocks of the two speakers are brought together. Message ids are given out by
-one store in order of arrival, so in id order an assistant's message is a reply to the user's message before it,
-and a user's message follows the assistant's before it. Each such pair bounds the offset d of the assistant's
-clock: ``reply + d >= request`` from below, ``next request >= reply + d`` from above. The sum of squared
-corrections is least at the d nearest to 0 between the greatest lower and the least upper bound; where the lower
-bound exceeds the upper, no offset fits and the conversation is rejected as ``infeasible``.
-
-A session with all its messages in agreement has d = 0. The bounds are a max and a min, so a session that holds a
-third of all rows is reduced before the shuffle; neighbours in id order and turn numbers come from range-partitioned
-stretches, not from one window for each session.
+Turns are put in order after the clocks of the senders are brought together. A sender is a role; each has a clock of
+its own, and the user's is the reference. Message ids are given out by one store in order of arrival, so of two
+neighbours in id order by different senders the second answers the first: ``t1 + d(sender 1) <= t2 + d(sender 2)``.
+Such pairs bound the differences of the offsets d. Of all offsets within the bounds those with the least sum of squared
+corrections, taken over all messages, are the estimate; where the bounds contradict each other (a loop of them with
+a negative sum) no offsets fit and the conversation is rejected as ``infeasible``.
+
+A session with all its messages in agreement has offsets 0. There are at most twelve bounds for a session, each a
+minimum, so a session that holds a third of all rows is reduced before the shuffle; neighbours in id order and turn
+numbers come from range-partitioned stretches, not from one window for each session.
 """
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessionloom.operators.runs import running_totals
 from sessionloom.runtime import Scratch, in_force, table
@@ -23,6 +28,8 @@ from sessionloom.runtime import Scratch, in_force, table
 ROLES = ("user", "assistant", "system", "tool")
 #: Epoch values below this are in seconds.
 SECONDS_BELOW = 100_000_000_000
+#: Ordered pairs of senders: the second answers the first.
+_PAIRS = list(itertools.permutations(range(len(ROLES)), 2))
 
 
 def _strip(c: Column) -> Column:
@@ -58,8 +65,53 @@ def spoken(parts: DataFrame, texts: bool) -> DataFrame:
     return p.groupBy("message_id").agg(F.collect_set("session_id").alias("sessions"), F.when(F.max("text").isNotNull(), both).alias("text"))
 
 
+def clock_offsets(bounds: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(feasible, offsets in ms) of many conversations at once.
+
+    ``bounds``: for each conversation and ordered pair of senders (i, j) the greatest d(i) - d(j), nan where there is
+    none; ``counts``: messages of each sender. The offsets minimise the sum of counts * d ** 2 with d(0) = 0. The closure of
+    the bounds under addition tells whether they agree; the least squares are found by correcting one bound after
+    another (each correction is remembered and taken back as far as later ones allow), and rounding to whole ms stays
+    inside the closed bounds.
+    """
+    n, k = counts.shape
+    room = np.full((n, k, k), np.inf)
+    for p, (i, j) in enumerate(_PAIRS):
+        room[:, i, j] = np.where(np.isnan(bounds[:, p]), np.inf, bounds[:, p])
+    room[:, range(k), range(k)] = 0
+    for m in range(k):
+        room = np.minimum(room, room[:, :, m : m + 1] + room[:, m : m + 1, :])
+    feasible = ~(room[:, range(k), range(k)] < 0).any(1)
+    give = 1 / np.maximum(counts, 1)  # how easily a sender's clock moves
+    give[:, 0] = 0
+    d, held = np.zeros((n, k)), np.zeros((n, len(_PAIRS)))
+    live = np.flatnonzero(feasible & np.any([room[:, i, j] < 0 for i, j in _PAIRS], axis=0))
+    while len(live):
+        moved = np.zeros(len(live))
+        for p, (i, j) in enumerate(_PAIRS):
+            over = d[live, i] - d[live, j] - room[live, i, j]
+            step = np.maximum(-held[live, p], over / (give[live, i] + give[live, j]))
+            held[live, p] += step
+            d[live, i] -= step * give[live, i]
+            d[live, j] += step * give[live, j]
+            moved = np.maximum(moved, np.abs(step) * np.maximum(give[live, i], give[live, j]))
+        live = live[moved > 1e-2]
+    d = np.round(d)
+    for j in range(1, k):
+        low, high = (d[:, :j] - room[:, :j, j]).max(1), (d[:, :j] + room[:, j, :j]).min(1)
+        d[:, j] = np.where(feasible, np.minimum(np.maximum(d[:, j], low), high), 0)
+    return feasible, d
+
+
+@F.pandas_udf(T.StructType([T.StructField("feasible", T.BooleanType()), *[T.StructField(r, T.LongType()) for r in ROLES]]))
+def _offsets(bounds: pd.Series, counts: pd.Series) -> pd.DataFrame:
+    full = lambda s, width, none: np.array([[none] * width if x is None else x for x in s], float).reshape(-1, width)
+    feasible, d = clock_offsets(full(bounds, len(_PAIRS), np.nan), full(counts, len(ROLES), 0))
+    return pd.DataFrame({"feasible": feasible} | {r: d[:, i].astype(np.int64) for i, r in enumerate(ROLES)})
+
+
 def _bounds(said: DataFrame, scratch: Scratch) -> DataFrame:
-    """session_id, low, high: the bounds of the assistant clock's offset, null where no pair gives one."""
+    """session_id, bounds (for each of ``_PAIRS``, nan where no neighbours give one), counts (messages of each role)."""
     parts = int(said.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = said.select("session_id", "message_id", "t", "role").repartitionByRange(parts, "session_id", "message_id")
     placed = scratch.keep(placed.withColumn("at", F.spark_partition_id()), "by-id")
@@ -68,24 +120,25 @@ def _bounds(said: DataFrame, scratch: Scratch) -> DataFrame:
     edge = edge.select((F.lead("at").over(Window.partitionBy(F.lit(0)).orderBy("at"))).alias("at"), "e.*").where(F.col("at").isNotNull())  # a row for each partition
     both = placed.withColumn("own", F.lit(True)).unionByName(edge.withColumn("own", F.lit(False)))
     near = Window.partitionBy("at", "session_id").orderBy("message_id")
-    pairs = both.select("session_id", "own", "t", "role", F.lag("t").over(near).alias("t0"), F.lag("role").over(near).alias("role0"))
-    gap = F.col("t0") - F.col("t")
-    low = F.when((F.col("role0") == "user") & (F.col("role") == "assistant"), gap)
-    high = F.when((F.col("role0") == "assistant") & (F.col("role") == "user"), -gap)
-    return pairs.where("own").groupBy("session_id").agg(F.max(low).alias("low"), F.min(high).alias("high"))
+    pairs = both.select("session_id", "own", "t", "role", F.lag("t").over(near).alias("t0"), F.lag("role").over(near).alias("role0")).where("own")
+    gap = (F.col("t") - F.col("t0")).cast("double")
+    least = [F.coalesce(F.min(F.when((F.col("role0") == ROLES[i]) & (F.col("role") == ROLES[j]), gap)), F.lit(float("nan"))) for i, j in _PAIRS]
+    counts = [F.sum((F.col("role") == r).cast("double")) for r in ROLES]
+    return pairs.groupBy("session_id").agg(F.array(*least).alias("bounds"), F.array(*counts).alias("counts"))
 
 
 def conversations(sessions: DataFrame, messages: DataFrame, parts: DataFrame, texts: bool = True, stated_order: bool = True) -> tuple[DataFrame, DataFrame]:
     """(verdicts, turns).
 
-    verdicts: a row for each session that messages or parts name: ``session_id``, ``reason`` (broken, empty,
-    no_reply, infeasible, or null for a sound conversation), ``offset_ms`` of the assistant's clock. turns, of the
-    sound ones: ``session_id``, ``turn_no`` from 0, ``role``, ``message_id``, ``t`` (ms, corrected), ``text``.
+    verdicts: a row for each session that ``sessions``, messages or parts name: ``session_id``, ``reason`` (broken,
+    empty, no_reply, infeasible, or null for a sound conversation) and the clock offsets in ms: ``offset_ms`` of the
+    assistant, ``system_ms``, ``tool_ms``. A session without messages is ``empty``. turns, of the sound ones:
+    ``session_id``, ``turn_no`` from 0, ``role``, ``message_id``, ``t`` (ms, corrected), ``text``.
 
     Whether the last word is a user's is taken from the times as they are stated, then the id; without
-    ``stated_order`` from the corrected times. Null times sort first. Rows without an id or a session do not count. Of repeated rows the one in force holds.
-    A turn is a user's or assistant's message that speaks; its text joins its parts in id order. Empty tables give
-    empty results.
+    ``stated_order`` from the corrected times. Null times sort first and bound nothing. Rows without an id or a session
+    do not count. Of repeated rows the one in force holds. A turn is a user's or assistant's message that speaks; its
+    text joins its parts in id order. Empty tables give empty results.
     """
     scratch = Scratch(messages.sparkSession, "conversations")
     known = sessions.where(F.col("id").isNotNull()).select(F.col("id").alias("session_id")).distinct().withColumn("known", F.lit(True))
@@ -100,17 +153,17 @@ def conversations(sessions: DataFrame, messages: DataFrame, parts: DataFrame, te
     named = said.select(F.explode("sessions").alias("session_id"), F.col("there").isNull().alias("orphan")).groupBy("session_id").agg(F.max("orphan").alias("orphan"))
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     said = said.where("there")
-    all_ = own.join(named, "session_id", "full").join(known, "session_id", "left")
-    all_ = all_.join(_bounds(said.where(speaks), scratch), "session_id", "left")
-    offset = F.when(F.col("low") <= F.col("high"), F.least(F.greatest(F.lit(0), "low"), "high"))
-    offset = F.when(F.col("low").isNotNull() & F.col("high").isNotNull(), offset).otherwise(F.greatest(F.lit(0), F.coalesce("low", F.lit(0))) + F.least(F.lit(0), F.coalesce("high", F.lit(0))))
-    heard = F.struct((F.col("last_assistant.t") + (F.lit(0) if stated_order else F.coalesce(offset, F.lit(0)))).alias("t"), F.col("last_assistant.message_id"))
+    all_ = own.join(named, "session_id", "full").join(known, "session_id", "full")
+    heard_at_all = said.where(F.col("text").isNotNull() & F.col("role").isNotNull())
+    all_ = all_.join(_bounds(heard_at_all, scratch), "session_id", "left").withColumn("clock", _offsets("bounds", "counts"))
+    offset = F.col("clock.assistant")
+    heard = F.struct((F.col("last_assistant.t") + (F.lit(0) if stated_order else offset)).alias("t"), F.col("last_assistant.message_id"))
     unanswered = F.col("last_assistant").isNull() | (F.col("last_user") > heard)
     reason = (
         F.when(~yes("known") | yes("bad") | yes("orphan"), "broken").when(~yes("any"), "empty")
-        .when(~yes("user") | unanswered, "no_reply").when(F.col("low") > F.col("high"), "infeasible")
+        .when(~yes("user") | unanswered, "no_reply").when(~F.col("clock.feasible"), "infeasible")
     )
-    verdicts = scratch.keep(all_.select("session_id", reason.alias("reason"), offset.cast("long").alias("offset_ms")), "verdicts")
+    verdicts = scratch.keep(all_.select("session_id", reason.alias("reason"), offset.alias("offset_ms"), F.col("clock.system").alias("system_ms"), F.col("clock.tool").alias("tool_ms")), "verdicts")
     sound = verdicts.where(F.col("reason").isNull()).select("session_id", "offset_ms")
     turns = said.where(speaks).join(sound, "session_id")
     turns = turns.select("session_id", "message_id", "role", (F.col("t") + F.when(F.col("role") == "assistant", F.col("offset_ms")).otherwise(0)).alias("t"), "text")
@@ -130,6 +183,11 @@ def p5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tables(spark, sf_dir, True)[1]
 
 
+def p5_clocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every session the verdict with the offsets that bring its senders' clocks together, in ms."""
+    return _tables(spark, sf_dir, False)[0]
+
+
 _CTE = r"""
 WITH m AS (SELECT id AS message_id, session_id, CASE WHEN time_created < 100000000000 THEN time_created * 1000 ELSE time_created END AS t,
   CASE WHEN json_valid(data) AND json_type(CASE WHEN json_valid(data) THEN data ELSE 'null' END) = 'OBJECT' THEN lower(trim(json_extract_string(CASE WHEN json_valid(data) THEN data ELSE 'null' END, '$.role'))) END AS role
@@ -142,12 +200,12 @@ x AS (SELECT message_id, string_agg(text, E'\n' ORDER BY id) AS text FROM p WHER
 s AS (SELECT m.*, x.text, (x.text IS NOT NULL AND m.role IN ('user', 'assistant')) AS speaks FROM m LEFT JOIN x USING (message_id)),
 per AS (SELECT session_id, bool_or(role IS NULL OR role NOT IN ('user', 'assistant', 'system', 'tool')) AS bad, bool_or(speaks) AS any_said, bool_or(speaks AND role = 'user') AS u,
   arg_max(role, (t, message_id)) FILTER (WHERE speaks) AS last_role FROM s GROUP BY 1),
-named AS (SELECT session_id FROM m UNION SELECT session_id FROM p),
+named AS (SELECT session_id FROM m UNION SELECT session_id FROM p UNION SELECT id FROM sessions WHERE id IS NOT NULL),
 verdict AS (SELECT n.session_id, CASE WHEN n.session_id NOT IN (SELECT id FROM sessions WHERE id IS NOT NULL) OR per.bad OR n.session_id IN (SELECT session_id FROM p WHERE message_id IS NULL OR message_id NOT IN (SELECT message_id FROM m)) THEN 'broken'
   WHEN NOT coalesce(any_said, false) THEN 'empty' WHEN NOT u OR last_role = 'user' THEN 'no_reply' END AS reason FROM named n LEFT JOIN per USING (session_id))
 """
 
-QUERIES = {"p5_found": p5_found, "p5_turns": p5_turns}
+QUERIES = {"p5_found": p5_found, "p5_turns": p5_turns, "p5_clocks": p5_clocks}
 ORACLE = {
     "p5_found": _CTE + "SELECT session_id, reason FROM verdict WHERE reason IS NOT NULL",
     # No clock of these tables is off, so the stated order is the corrected one.

@@ -1,4 +1,8 @@
-from sessionloom.llm.conversations import conversations
+import itertools
+
+import numpy as np
+
+from sessionloom.llm.conversations import _PAIRS, ROLES, clock_offsets, conversations
 
 SES = "id string, role int"
 MSG = "id string, session_id string, time_created long, time_updated long, data string, loaded_at timestamp, text string"
@@ -37,8 +41,8 @@ def test_reasons(spark):
     ]
     parts = [says(f"p{i}", i, s, "x") for i, s, *_ in messages if s and s != "empty"]
     parts += [says("q1", "zz", "orphan", "x"), says("q2", "e1", "empty", "  "), ("q3", "e2", "empty", 1, '{"type":"step-start"}'), ("q4", "a2", "ok", 1, '{"type":"tool","tool":"bash","state":{"status":"completed"}}'), says("q5", "zz", None, "x")]
-    verdicts, turns = run(spark, ["ok", "bad", "orphan", "empty", "open", "nouser", "strings", "roles", "seconds"], messages, parts)
-    assert {s: r for s, (r, _) in verdicts.items()} == {"ok": None, "gone": "broken", "bad": "broken", "orphan": "broken", "empty": "empty", "open": "no_reply", "nouser": "no_reply", "strings": "broken", "roles": None, "seconds": None}
+    verdicts, turns = run(spark, ["ok", "bad", "orphan", "empty", "open", "nouser", "strings", "roles", "seconds", "silent"], messages, parts)
+    assert {s: r for s, (r, _) in verdicts.items()} == {"ok": None, "gone": "broken", "bad": "broken", "orphan": "broken", "empty": "empty", "open": "no_reply", "nouser": "no_reply", "strings": "broken", "roles": None, "seconds": None, "silent": "empty"}
     assert ("ok", 1, "assistant", "a2", "x\n[tool bash: completed]") in turns
     assert [t[3] for t in turns if t[0] == "seconds"] == ["k1", "k2", "k3"]
 
@@ -64,5 +68,37 @@ def test_clocks_that_no_offset_brings_together(spark):
     assert verdicts["s"][0] == "infeasible" and turns == []
 
 
+def test_offsets_of_three_senders_have_the_least_squares():
+    rng = np.random.default_rng(2)
+    bounds, counts = np.full((60, len(_PAIRS)), np.nan), rng.integers(1, 6, (60, len(ROLES))).astype(float)
+    for b in bounds:
+        true = np.array([0, *rng.integers(-9, 9, 3)])
+        for p, (i, j) in enumerate(_PAIRS):
+            if rng.random() < 0.6:
+                b[p] = true[i] - true[j] + rng.integers(0, 4)
+    feasible, d = clock_offsets(bounds, counts)
+    assert feasible.all()
+    grid = np.array(list(itertools.product(range(-16, 17), repeat=3)))
+    grid = np.concatenate([np.zeros((len(grid), 1)), grid], 1)
+    for b, w, x in zip(bounds, counts, d, strict=True):
+        ok = np.all([np.isnan(b[p]) | (grid[:, i] - grid[:, j] <= b[p]) for p, (i, j) in enumerate(_PAIRS)], axis=0)
+        assert all(np.isnan(b[p]) or x[i] - x[j] <= b[p] for p, (i, j) in enumerate(_PAIRS))
+        best = (w * grid[ok] ** 2).sum(1).min()
+        assert (w * x**2).sum() <= best + w.sum() * 2 + 2 * (w * np.abs(x)).sum() ** 0.5 * 3  # whole ms cost a little
+    loop = np.full((1, len(_PAIRS)), np.nan)
+    for i, j, b in ((1, 2, -1), (2, 3, -1), (3, 1, 1)):
+        loop[0, _PAIRS.index((i, j))] = b
+    assert not clock_offsets(loop, np.ones((1, 4)))[0][0]
+
+
+def test_a_tool_clock_that_is_off_is_found_through_the_assistant(spark):
+    messages = [m for k in range(3) for m in (user(f"m{k}a", "s", T0 + k * 60_000), bot(f"m{k}b", "s", T0 + k * 60_000 + 9_000), user(f"m{k}c", "s", T0 + k * 60_000 - 20_000, role="tool"), bot(f"m{k}d", "s", T0 + k * 60_000 + 30_000))]
+    parts = [says(f"p{i}", i, "s", i) for i, *_ in messages]
+    s, m, p = (spark.createDataFrame(x, c) for x, c in (([("s", 1)], SES), ([(*x, None, "") for x in messages], MSG), ([(i, mid, ses, 1, v, d, None) for i, mid, ses, v, d in parts], PRT)))
+    r = conversations(s, m, p)[0].collect()[0]
+    # 6 d(assistant)**2 + 3 d(tool)**2 is least at (-9667, 19333), but no reply is earlier than 9 s after its request.
+    assert (r.reason, r.offset_ms, r.system_ms, r.tool_ms) == (None, -9_000, 0, 20_000)
+
+
 def test_empty_tables(spark):
     assert run(spark, [], [], []) == ({}, [])
