@@ -31,7 +31,7 @@ def test_turns():
 def test_packing_keeps_all_tokens_and_limits(spark):
     rng = np.random.default_rng(3)
     rows = [(i, int(t), int(1 + t // 40), int(t * rng.random())) for i, t in enumerate(rng.integers(0, 900, 400))] + [(7, 50, 1, 50), (None, 9, 1, 9), (900, 5, 300, 5)]
-    packed = pack(spark.createDataFrame(rows, "doc_id long, tokens long, segments long, loss long"), [("a", 256), ("b", 1000)], group_items=128, loss_share=0.8).toPandas()
+    packed = pack(spark.createDataFrame(rows, "doc_id long, tokens long, segments long, loss long"), [("a", 256), ("b", 1000)], group_items=128, density=(1 / 8, 0.8)).toPandas()
     for name, capacity in (("a", 256), ("b", 1000)):
         p = packed[packed.pack_name == name]
         want: dict = {}
@@ -42,11 +42,27 @@ def test_packing_keeps_all_tokens_and_limits(spark):
         per = p.groupby("container_id")[["tokens", "segments", "loss_tokens"]].agg(["sum", "count"])
         assert (per[("tokens", "sum")] <= capacity).all()
         shared = per[per[("tokens", "count")] > 1]
-        assert (shared[("segments", "sum")] <= capacity // 8).all() and (shared[("loss_tokens", "sum")] <= capacity * 0.8).all()
+        assert (shared[("segments", "sum")] <= -(-capacity // 8)).all() and (shared[("loss_tokens", "sum")] <= np.ceil(capacity * 0.8)).all()
         split = p[p.piece > 0].doc_id.unique()
         assert all(want[d] > capacity for d in split)
 
 
+def test_limits_bind_and_part_empty_containers_are_opened_again(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, int(t), 12 if i % 3 == 0 else 1, 0 if i % 4 == 0 else int(t)) for i, t in enumerate(rng.integers(20, 300, 3000))]
+    items = spark.createDataFrame(rows, "doc_id long, tokens long, segments long, loss long")
+    filled = {}
+    for group in (500, 10**6):
+        p = pack(items, [("a", 1000)], group_items=group).toPandas()
+        assert sorted(p.doc_id) == list(range(3000)) and (p.piece == 0).all()
+        per = p.groupby("container_id")[["tokens", "segments", "loss_tokens"]].sum()
+        room = np.ceil(1000 * 1.25 * np.array([sum(r[2] for r in rows), sum(r[3] for r in rows)]) / sum(r[1] for r in rows))
+        assert (per.tokens <= 1000).all() and (per.segments <= room[0]).all() and (per.loss_tokens <= room[1]).all()
+        assert (per.segments > 0.95 * room[0]).any() and (per.loss_tokens > 0.95 * room[1]).any()
+        filled[group] = per.tokens.sum() / (1000 * len(per))
+    assert filled[500] > filled[10**6] - 0.02 > 0.93
+
+
 def test_packing_nothing(spark):
     assert pack(spark.createDataFrame([], "doc_id long, tokens long, segments long, loss long"), [("a", 8)]).count() == 0
 
@@ -57,6 +73,17 @@ def test_plan():
     assert plan({}, [("a", 1.0, 1)]) == (0.0, {})
 
 
+def test_large_documents_do_not_end_a_share(spark):
+    rows = [(i, "wide", 900) for i in range(40)] + [(100 + i, "wide", 15) for i in range(60)] + [(1000 + i, "even", 20) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
+    out, shares = mixture(docs, [("wide", 0.25, 1), ("even", 0.75, 1)], block=128)
+    share = {r.source: r.reached_share for r in shares.collect()}
+    assert share["wide"] == pytest.approx(0.25, abs=0.005)
+    t = out.toPandas().sort_values(["source", "start"])
+    for _, own in t.groupby("source"):
+        assert (own.start.to_numpy()[1:] == (own.start + own.tokens).to_numpy()[:-1]).all()
+
+
 def test_mixture_reaches_shares_and_caps(spark):
     rng = np.random.default_rng(5)
     rows = [(i, "big" if i % 3 else "mid", int(t)) for i, t in enumerate(rng.integers(5, 60, 900))] + [(5000, "small", 30), (5001, "small", 40), (5002, None, 9), (5003, "big", 0), (5004, "other", 3)]
