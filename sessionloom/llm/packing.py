@@ -2,7 +2,8 @@
 
 Vector bin packing with the dot-product heuristic: a container has room for tokens, segments and loss-bearing
 tokens; of the items that still fit in all three, the one whose size vector has the greatest dot product with the
-room left is put in, until none fits. Room for segments and loss is what the collection needs on average and
+room left is put in, until none fits. The dimensions weigh as much as the items yet to be packed need of them, so that
+what is scarce is used up evenly. Room for segments and loss is what the collection needs on average and
 ``SLACK`` more, so that a container cannot hold only dialogue turns or only text that bears loss.
 
 Items are dealt by a hash of their id to groups of bounded size, each packed by one task, so the work is spread evenly
@@ -24,8 +25,8 @@ from sessionloom.runtime import Scratch, table
 
 #: Items that one task packs together.
 GROUP_ITEMS = 4096
-#: A container's room for segments and loss, over the mean of the items.
-SLACK = 1.25
+#: A container's room for segments and for loss-bearing tokens, over the mean of the items.
+SLACK = (1.5, 1.1)
 #: A container with less of its tokens used is opened again, if there are other groups.
 FULL = 0.97
 #: Container numbers of one level of packing; the levels have numbers of their own.
@@ -41,7 +42,7 @@ def fill(items: np.ndarray, room: np.ndarray) -> np.ndarray:
     scaled = items[order] / room
     bin_ = 0
     while len(order):
-        left, taken = np.ones(items.shape[1]), []
+        left, taken, weight = np.ones(items.shape[1]), [], scaled.sum(0) / scaled.sum(0).max()
         alive = np.ones(len(order), bool)
         while True:
             first = np.searchsorted(-scaled[:, 0], -left[0] - 1e-12)  # sorted by tokens: smaller items stand after it
@@ -51,7 +52,7 @@ def fill(items: np.ndarray, room: np.ndarray) -> np.ndarray:
             fits = alive[first:] & (rest[:, 1:] <= left[1:] + 1e-12).all(1)
             if not fits.any():
                 break
-            pick = first + int(np.argmax(np.where(fits, rest @ left, -1)))
+            pick = first + int(np.argmax(np.where(fits, rest @ (left * weight), -1)))
             alive[pick] = False
             taken.append(pick)
             left = left - scaled[pick]
@@ -85,7 +86,7 @@ def _pack_group(rooms: dict[str, np.ndarray], groups: int, level: int):
     return run
 
 
-def pack(items: DataFrame, packs: list[tuple[str, int]], group_items: int = GROUP_ITEMS, slack: float = SLACK, density: tuple[float, float] | None = None) -> DataFrame:
+def pack(items: DataFrame, packs: list[tuple[str, int]], group_items: int = GROUP_ITEMS, slack: tuple[float, float] = SLACK, density: tuple[float, float] | None = None) -> DataFrame:
     """Assigns items (doc_id, tokens, segments, loss) to containers of each (name, capacity).
 
     Only an item of more tokens than the capacity is split, into pieces of exactly the capacity, each with a container of
@@ -97,7 +98,7 @@ def pack(items: DataFrame, packs: list[tuple[str, int]], group_items: int = GROU
     scratch = Scratch(items.sparkSession, "packing")
     items = scratch.keep(items.where((F.col("tokens") > 0) & F.col("doc_id").isNotNull()).select("doc_id", "tokens", "segments", "loss"), "items")
     n, tokens, segments, loss = items.agg(F.count("*"), F.sum("tokens"), F.sum(F.greatest("segments", F.lit(1))), F.sum("loss")).collect()[0]  # one row
-    rooms = _rooms(packs, density or (slack * (segments or 0) / (tokens or 1), slack * (loss or 0) / (tokens or 1)))
+    rooms = _rooms(packs, density or (slack[0] * (segments or 0) / (tokens or 1), slack[1] * (loss or 0) / (tokens or 1)))
 
     sized = items.select("*", F.explode(F.array(*[F.struct(F.lit(name).alias("pack_name"), F.lit(capacity).cast("long").alias("capacity")) for name, capacity in packs])).alias("p")).select("*", "p.*")
     sized = sized.withColumn("whole", F.when(F.col("tokens") > F.col("capacity"), F.expr("tokens div capacity")).otherwise(F.lit(0).cast("long")))

@@ -56,9 +56,9 @@ def test_limits_bind_and_part_empty_containers_are_opened_again(spark):
         p = pack(items, [("a", 1000)], group_items=group).toPandas()
         assert sorted(p.doc_id) == list(range(3000)) and (p.piece == 0).all()
         per = p.groupby("container_id")[["tokens", "segments", "loss_tokens"]].sum()
-        room = np.ceil(1000 * 1.25 * np.array([sum(r[2] for r in rows), sum(r[3] for r in rows)]) / sum(r[1] for r in rows))
+        room = np.ceil(1000 * np.array([1.5 * sum(r[2] for r in rows), 1.1 * sum(r[3] for r in rows)]) / sum(r[1] for r in rows))
         assert (per.tokens <= 1000).all() and (per.segments <= room[0]).all() and (per.loss_tokens <= room[1]).all()
-        assert (per.segments > 0.95 * room[0]).any() and (per.loss_tokens > 0.95 * room[1]).any()
+        assert (per.segments > room[0] - 12).any() and (per.loss_tokens > 0.95 * room[1]).any()
         filled[group] = per.tokens.sum() / (1000 * len(per))
     assert filled[500] > filled[10**6] - 0.02 > 0.93
 
