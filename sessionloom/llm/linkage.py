@@ -1,13 +1,14 @@
 """Deduplicating new batches against all history (problem 1).
 
-Incremental record linkage over tables that are kept between batches:
+Incremental record linkage over tables that are kept between batches, each cut into folders by ranges of a hash:
 
-``keys/bucket=n``  blocking keys of every accepted record, a folder for each range of keys
-``records``        the accepted records' word sets
-``clusters``       rows (id, rep, step); the latest step of an id holds, and a rep may point on to another
+``keys``      blocking keys of every accepted record: minhash bands, with a sketch of further bands (see ``textsim``)
+``records``   the accepted records' word sets, by the hash of the set
+``clusters``  rows (id, rep, step), by the hash of the id; the latest step of an id holds, and a rep may point on to another
 
-A batch computes its own keys, opens only the key folders that they fall into, reads word sets only of records that
-it met there, and writes only its own rows and those of clusters that it joins. History is not read again.
+A batch computes its own keys and opens only the folders that they fall into, then only those folders of records and
+clusters in which something was met, and writes only its own rows and those of clusters that it joins. A folder has a
+bounded number of rows, so a small batch reads about as much from a long history as from a short one.
 
 Fields are scored with weights that an expectation-maximisation over the agreement patterns of the met pairs learns
 (how much likelier a level of agreement is among true repeats than among chance meetings), without labels. The
@@ -16,21 +17,21 @@ score orders a candidate's possible originals; whether it is a repeat is settled
 
 from __future__ import annotations
 
-import math
+import functools
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.textsim import ALIKE, band_keys, class_id, jaccard, meeting, split_large, verified, word_hashes
+from sessionloom.llm.textsim import ALIKE, alike_in_large, class_id, jaccard, meeting, tensored, word_hashes
 from sessionloom.operators.components import components
-from sessionloom.runtime import Scratch, in_force, small, table
+from sessionloom.runtime import BROADCAST_ROWS, Scratch, in_force, table
 
-#: Bands and minhashes of a band: a pair alike to 0.6 meets with probability 0.999, to 0.65 with 0.99998; a pair alike
-#: to 0.15 with 0.002, to 0.1 with 0.0001.
-BANDS, ROWS = 144, 6
-#: Keys in a folder of the kept key table.
-BUCKET_KEYS = 2_000_000
+#: Bands and minhashes of a band in each of the two collections: a pair alike to 0.6 meets with probability 0.9974, to
+#: 0.65 with 0.9998, to 0.7 with 0.99999; a pair alike to 0.2 with 0.005, to 0.15 with 0.0006.
+BANDS, ROWS = 48, 4
+#: Rows in a folder of a kept table.
+FOLDER_ROWS = 400_000
 _LEVELS = (0.3, 0.6, 0.85)
 
 
@@ -64,62 +65,82 @@ def learn_weights(patterns: list[tuple[int, int, int]], rounds: int = 60) -> np.
 def first_come(classes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(cid, original): the classes that repeat an earlier one which is itself no repeat, with the earliest such.
 
-    classes: (cid, pos); edges (a, b). In each round a class with no undecided earlier neighbour and no accepted
-    one is accepted, and the later neighbours of accepted ones are repeats; a round decides at least the first of
-    every chain, so there are as many rounds as the longest chain of alternating decisions.
+    classes: (cid, pos); edges (a, b). In each round a class with no undecided earlier neighbour is accepted, and the
+    later neighbours of accepted ones are repeats; a round decides at least the first of every chain, so there are as
+    many rounds as the longest chain of alternating decisions. A round writes one table.
     """
     at = classes.select(F.col("cid").alias("a"), F.col("pos").alias("pa"))
     bt = classes.select(F.col("cid").alias("b"), F.col("pos").alias("pb"))
     e = edges.join(at, "a").join(bt, "b")
     earlier = F.col("pa") < F.col("pb")
-    e = e.select(F.when(earlier, F.col("a")).otherwise(F.col("b")).alias("first"), F.when(earlier, F.col("b")).otherwise(F.col("a")).alias("later"), F.least("pa", "pb").alias("p"))
-    e = scratch.keep(e, "order0")
-    every, accepted, step = e, None, 0
-    while not e.isEmpty():
-        firsts = e.select(F.col("first").alias("cid")).distinct().join(e.select(F.col("later").alias("cid")), "cid", "left_anti")
-        firsts = scratch.keep(firsts, f"accepted{step}")
-        accepted = firsts if accepted is None else accepted.union(firsts)
-        gone = e.join(firsts.select(F.col("cid").alias("first")), "first", "left_semi").select(F.col("later").alias("cid")).distinct()
-        gone = scratch.keep(gone.union(firsts), f"decided{step}")
-        e = e.join(gone.select(F.col("cid").alias("later")), "later", "left_anti").join(gone.select(F.col("cid").alias("first")), "first", "left_anti")
+    every = e.select(F.when(earlier, F.col("a")).otherwise(F.col("b")).alias("first"), F.when(earlier, F.col("b")).otherwise(F.col("a")).alias("later"), F.least("pa", "pb").alias("p"))
+    every = scratch.keep(every, "order")
+    live, decided, step = every, [], 0
+    while True:
+        waits = live.select(F.col("later").alias("first")).distinct().withColumn("waits", F.lit(True))
+        live = scratch.keep(live.join(waits, "first", "left").withColumn("accepted", F.col("waits").isNull()).drop("waits"), f"round{step}")
+        if live.isEmpty():
+            break
+        decided.append(live.where("accepted").select(F.col("later").alias("cid")))
+        repeat = decided[-1].distinct()
+        live = live.where(~F.col("accepted")).drop("accepted")
+        live = live.join(repeat.withColumnRenamed("cid", "later"), "later", "left_anti").join(repeat.withColumnRenamed("cid", "first"), "first", "left_anti").select("first", "later", "p")
         step += 1
-        e = scratch.keep(e, f"order{step}")
-    if accepted is None:
+    if not decided:
         return edges.select(F.col("a").alias("cid"), F.col("b").alias("original")).limit(0)
-    # A class left without undecided neighbours, all of them repeats, was accepted without being listed.
-    listed = every.join(accepted.select(F.col("cid").alias("first")), "first", "left_semi")
-    repeats = listed.groupBy(F.col("later").alias("cid")).agg(F.min(F.struct("p", "first")).alias("m")).select("cid", F.col("m.first").alias("original"))
-    rest = every.join(repeats.select(F.col("cid").alias("first")), "first", "left_anti").groupBy(F.col("later").alias("cid")).agg(F.min(F.struct("p", "first")).alias("m"))
-    return scratch.keep(rest.select("cid", F.col("m.first").alias("original")).join(repeats.select("cid"), "cid", "left_semi"), "repeats")
+    repeats = functools.reduce(DataFrame.union, decided).distinct()
+    # The original is the earliest neighbour that is itself no repeat, in whichever round it was accepted.
+    own = every.join(repeats.select(F.col("cid").alias("later")), "later", "left_semi").join(repeats.select(F.col("cid").alias("first")), "first", "left_anti")
+    return scratch.keep(own.groupBy(F.col("later").alias("cid")).agg(F.min(F.struct("p", "first")).alias("m")).select("cid", F.col("m.first").alias("original")), "repeats")
 
 
-class Linker:
-    """The kept tables of one collection and the work of a batch on them."""
+_KEPT = {
+    "keys": ("key", "key long, id long, other binary"),
+    "records": ("cid", "cid long, kind int, pos long, id string, title array<long>, words array<long>"),
+    "clusters": ("id", "id string, rep string, step int"),
+}
 
-    def __init__(self, spark: SparkSession, path: str, history_rows: int, threshold: float = ALIKE):
-        self.spark, self.path, self.threshold, self.step = spark, path, threshold, 0
-        self.folders = max(1, -(-history_rows * BANDS // BUCKET_KEYS))
 
-    def _keys(self, sets: DataFrame) -> DataFrame:
-        keyed = sets.where(F.size("words") > 0).select(F.col("cid").alias("id"), F.explode(band_keys(BANDS, ROWS)(F.col("words"))).alias("key"))
-        return keyed.withColumn("bucket", F.pmod(F.shiftright("key", 7), F.lit(self.folders)).cast("int"))
+class Linker:
+    """The kept tables of one collection and the work of a batch on them.
 
-    def _accept(self, records: DataFrame, kind: int) -> None:
-        """Adds records; a class that history has already is not added to the keys again by the callers."""
+    ``history_rows``: about how many records there will be; it decides the number of folders of each table.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, history_rows: int, threshold: float = ALIKE, folder_rows: int = FOLDER_ROWS):
+        self.spark, self.path, self.threshold, self.step = spark, path, threshold, 0
+        self.folders = {name: max(1, -(-history_rows * (BANDS if name == "keys" else 1) // folder_rows)) for name in _KEPT}
+
+    def _bucket(self, name: str) -> Column:
+        return F.pmod(F.shiftright(F.xxhash64(_KEPT[name][0]), 9), F.lit(self.folders[name])).cast("int")
+
+    def _write(self, df: DataFrame, name: str) -> None:
+        by, schema = _KEPT[name]
+        t = df.select(*[c.split()[0] for c in schema.split(", ")]).withColumn("bucket", self._bucket(name))
+        t.repartition("bucket").sortWithinPartitions("bucket", by).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/{name}")
+
+    def kept(self, name: str, wanted: DataFrame | None = None) -> DataFrame:
+        """A kept table; with ``wanted`` (rows with its key column) only the folders in which those can lie."""
+        t = self.spark.read.schema(_KEPT[name][1] + ", bucket int").parquet(f"{self.path}/{name}")
+        if wanted is not None and self.folders[name] > 1:
+            numbers = [r.bucket for r in wanted.select(self._bucket(name).alias("bucket")).distinct().collect()]  # folder numbers
+            if len(numbers) < self.folders[name]:
+                t = t.where(F.col("bucket").isin(numbers))
+        return t.drop("bucket")
+
+    def _accept(self, records: DataFrame, kind: int, scratch: Scratch) -> None:
+        """Adds records (id, pos, title, words, cid), of which history has no equal word set."""
         self.step += 1
         one = records.groupBy("cid").agg(F.min(F.struct("pos", "id", "title", "words")).alias("r")).select("cid", F.lit(kind).alias("kind"), "r.*")
-        one.write.mode("append").parquet(f"{self.path}/records/step={self.step}")
-        kept = self.spark.read.parquet(f"{self.path}/records/step={self.step}")
-        self._keys(kept).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/keys")
-        records.select("id", F.col("id").alias("rep")).write.mode("append").parquet(f"{self.path}/clusters/step={self.step}")
+        one = scratch.keep(one, "accepted")
+        self._write(one, "records")
+        self._write(tensored(one.select(F.col("cid").alias("id"), "words"), BANDS, ROWS), "keys")
+        self._write(records.select("id", F.col("id").alias("rep"), F.lit(self.step).alias("step")), "clusters")
 
     def bootstrap(self, records: DataFrame) -> None:
         """Takes (id, title, lesson) as history without testing it; the least id stands for equal word sets."""
-        t = _prepared(records.select("id", F.lit(0).cast("long").alias("pos"), "title", "lesson"))
-        self._accept(t, 0)
-
-    def _records(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/records")
+        scratch = Scratch(self.spark, "bootstrap")
+        self._accept(scratch.keep(_prepared(records.select("id", F.lit(0).cast("long").alias("pos"), "title", "lesson")), "history"), 0, scratch)
 
     def link(self, batch: DataFrame) -> DataFrame:
         """Finds the repeats in (id, pos, title, lesson) and accepts the rest: (id, original_id, score, history).
@@ -133,17 +154,24 @@ class Linker:
         b = scratch.keep(_prepared(batch).withColumn("pos", F.struct("pos", "id")), "batch")
         sets = b.where(F.size("words") > 0).groupBy("cid").agg(F.min("pos").alias("pos"), F.first("title").alias("title"), F.first("words").alias("words"))
         sets = scratch.keep(sets, "classes")
-        keyed = scratch.keep(self._keys(sets), "keys")
-        count = keyed.count()
-        wanted = [r.bucket for r in keyed.select("bucket").distinct().collect()]  # folder numbers
-        kept = self.spark.read.schema("id long, key long, bucket int").parquet(f"{self.path}/keys").where(F.col("bucket").isin(wanted))
-        met = kept.withColumnRenamed("id", "h").join(small(keyed.select("key", "bucket", "id"), count), ["key", "bucket"]).select(F.col("id").alias("c"), "h").distinct()
+        keyed = scratch.keep(tensored(sets.select(F.col("cid").alias("id"), "words"), BANDS, ROWS), "keys")
+        old = self.kept("keys", keyed)
+        if keyed.count() <= BROADCAST_ROWS:  # counted: so many keys of 8 bytes
+            old = old.join(F.broadcast(keyed.select("key").distinct()), "key", "left_semi")
+        met, large = meeting(keyed.withColumn("old", F.lit(False)).unionByName(old.withColumn("old", F.lit(True))), scratch, BANDS)
         met = scratch.keep(met, "met")
-        history = self._records().join(met.select(F.col("h").alias("cid")).distinct(), "cid", "left_semi")
+        # Word sets are read of what was met, and of equal sets.
+        wanted = met.where("old").select(F.col("b").alias("cid")).union(large.where("old").select("id")).union(sets.select("cid")).distinct()
+        wanted = scratch.keep(wanted, "wanted")
+        history = scratch.keep(self.kept("records", wanted).join(wanted, "cid", "left_semi"), "history")
+        if not large.isEmpty():
+            words = sets.select(F.col("cid").alias("id"), "words").union(history.select("cid", "words")).dropDuplicates(["id"])
+            met = scratch.keep(met.union(alike_in_large(large, words, scratch, self.threshold)).distinct(), "met-all")
+        equal = sets.join(history.select("cid"), "cid", "left_semi").select(F.col("cid").alias("c"), F.col("cid").alias("h"))
+        across = met.where("old").select(F.col("a").alias("c"), F.col("b").alias("h")).union(equal).distinct()
         side = lambda p, k: [F.col("cid").alias(k), F.col("title").alias(f"{p}t"), F.col("words").alias(f"{p}w")]
-        pairs = met.join(history.select(*side("h", "h"), F.col("id").alias("h_id"), "kind", F.col("pos").alias("h_pos")), "h").join(sets.select(*side("c", "c")), "c")
-        pairs = pairs.select("c", "h", "h_id", "kind", "h_pos", jaccard("ht", "ct").alias("t"), jaccard("hw", "cw").alias("w"))
-        pairs = scratch.keep(pairs, "pairs")
+        pairs = across.join(history.select(*side("h", "h"), F.col("id").alias("h_id"), "kind", F.col("pos").alias("h_pos")), "h").join(sets.select(*side("c", "c")), "c")
+        pairs = scratch.keep(pairs.select("c", "h", "h_id", "kind", "h_pos", jaccard("ht", "ct").alias("t"), jaccard("hw", "cw").alias("w")), "pairs")
         counted = pairs.groupBy(_level("t").alias("a"), _level("w").alias("b")).count().collect()  # at most 16 patterns
         weight = learn_weights([(r.a, r["b"], r["count"]) for r in counted])
         value = lambda f, c: sum((F.when(_level(c) == k, float(weight[f, k])).otherwise(0.0) for k in range(4)), F.lit(0.0))
@@ -153,19 +181,15 @@ class Linker:
         old = alike.groupBy(F.col("c").alias("cid")).agg(F.min(rank).alias("m")).select("cid", F.col("m.id").alias("original_id"), (-F.col("m.s")).alias("score"))
         old = scratch.keep(old, "old")
         new = sets.join(old, "cid", "left_anti")
-        as_sets = new.select(F.col("cid").alias("id"), "words")
-        two, large = meeting(keyed.select("key", "id").join(new.select(F.col("cid").alias("id")), "id", "left_semi").select("key", "id"), scratch)
-        edges = verified(two, as_sets, self.threshold)
-        more = split_large_all(large, as_sets, scratch, self.threshold)
-        edges = scratch.keep((edges if more is None else edges.unionByName(more)).select("a", "b").distinct(), "edges")
-        inner = first_come(new.select("cid", "pos"), edges, scratch)
+        both = met.where(~F.col("old")).select("a", "b").join(new.select(F.col("cid").alias("a"), F.col("words").alias("wa")), "a").join(new.select(F.col("cid").alias("b"), F.col("words").alias("wb")), "b")
+        inner = first_come(new.select("cid", "pos"), both.where(jaccard("wa", "wb") >= self.threshold).select("a", "b"), scratch)
         lead = b.where(F.size("words") > 0).groupBy("cid").agg(F.min("pos").alias("lead"))
         origin = inner.join(lead.select(F.col("cid").alias("original"), F.col("lead.id").alias("original_id")), "original").select("cid", "original_id", F.lit(None).cast("double").alias("score"), F.lit(False).alias("history"))
-        known = scratch.keep(old.withColumn("history", F.lit(True)).unionByName(origin), "known")
+        known = old.withColumn("history", F.lit(True)).unionByName(origin)
         t = b.join(lead, "cid", "left").join(known, "cid", "left")
         repeat = F.coalesce("original_id", F.when(F.col("pos") > F.col("lead"), F.col("lead.id")))
         result = scratch.keep(t.select("id", "pos", "title", "words", "cid", repeat.alias("original_id"), "score", F.coalesce("history", F.lit(False)).alias("history")), "result")
-        self._accept(result.where(F.col("original_id").isNull()).select("id", F.col("pos.pos").alias("pos"), "title", "words", "cid"), 1)
+        self._accept(result.where(F.col("original_id").isNull()).select("id", F.col("pos.pos").alias("pos"), "title", "words", "cid"), 1, scratch)
         self._join_clusters(result, alike, scratch)
         return result.where(F.col("original_id").isNotNull()).select("id", "original_id", "score", "history")
 
@@ -175,13 +199,16 @@ class Linker:
 
     def _find(self, records: DataFrame | None, scratch: Scratch) -> DataFrame:
         """(id, rep) of the given records (column id), or of all: pointers are followed until they stand still."""
-        rows = self.spark.read.parquet(f"{self.path}/clusters")
-        latest = lambda t: t.groupBy("id").agg(F.max_by("rep", "step").alias("rep"))
-        at, step = latest(rows if records is None else rows.join(records, "id", "left_semi")), 0
+
+        def latest(ids: DataFrame | None) -> DataFrame:
+            t = self.kept("clusters", ids)
+            return (t if ids is None else t.join(ids, "id", "left_semi")).groupBy("id").agg(F.max_by("rep", "step").alias("rep"))
+
+        at, step = latest(records), 0
         while True:
             at = scratch.keep(at, f"find{step}")
             ends = at.select(F.col("rep").alias("id")).distinct()
-            up = latest(rows.join(ends, "id", "left_semi")).select(F.col("id").alias("rep"), F.col("rep").alias("top")).where("rep <> top")
+            up = latest(ends).select(F.col("id").alias("rep"), F.col("rep").alias("top")).where("rep <> top")
             up = scratch.keep(up, f"up{step}")
             if up.isEmpty():
                 return at
@@ -195,36 +222,19 @@ class Linker:
         links = result.where(F.col("original_id").isNotNull()).select("id", "original_id", "cid")
         touched = alike.select(F.col("c").alias("cid"), F.col("h_id").alias("record"))
         pairs = links.select("cid", F.col("original_id").alias("record")).union(touched).distinct()
-        now = self._find(pairs.select(F.col("record").alias("id")).distinct(), scratch).withColumnRenamed("id", "record")
-        both = pairs.join(now, "record").groupBy("cid").agg(F.min("rep").alias("low"), F.collect_set("rep").alias("reps"))
-        edge = both.select("low", F.explode("reps").alias("rep")).where("low <> rep").distinct()
+        now = self._find(scratch.keep(pairs.select(F.col("record").alias("id")).distinct(), "touched"), scratch).withColumnRenamed("id", "record")
+        both = pairs.join(now, "record").select("cid", "rep").distinct()
+        low = both.groupBy("cid").agg(F.min("rep").alias("low"))
+        edge = both.join(low, "cid").select("low", "rep").where("low <> rep").distinct()
         edge = scratch.keep(edge.select(F.xxhash64("low").alias("a"), F.xxhash64("rep").alias("b"), "low", "rep"), "merges")
         self.step += 1
-        where = f"{self.path}/clusters/step={self.step}"
         names = edge.select(F.col("a").alias("node"), F.col("low").alias("name")).union(edge.select("b", "rep")).distinct()
         roots = components(edge.select("a", "b"), scratch).join(names, "node")
         least = roots.groupBy("root").agg(F.min("name").alias("top"))
         moved = scratch.keep(roots.join(least, "root").where("name <> top").select(F.col("name").alias("id"), F.col("top").alias("rep")), "moved")
         first = links.select("id", F.col("original_id").alias("record")).join(now, "record").select("id", "rep")
         first = first.join(moved.select(F.col("id").alias("rep"), F.col("rep").alias("top")), "rep", "left").select("id", F.coalesce("top", "rep").alias("rep"))
-        moved.union(first).write.mode("append").parquet(where)
-
-
-def split_large_all(large: DataFrame, sets: DataFrame, scratch: Scratch, threshold: float) -> DataFrame | None:
-    """All alike pairs of large buckets, which first-come decisions need, not only links that join groups.
-
-    Equal word sets are one class already, so a large bucket holds many different texts; they are compared in
-    sub-buckets of a prefix word: in any fixed order of words, sets alike to t share one of the first
-    n - ceil(t * n) + 1 words of each.
-    """
-    if large.isEmpty():
-        return None
-    members = large.join(sets, "id")
-    head = F.size("words") - F.ceil(F.size("words") * F.lit(threshold) - 1e-9).cast("int") + 1
-    sub = members.select("id", F.explode(F.slice("words", F.lit(1), head)).alias("w"), "bucket")
-    sub = scratch.keep(sub.select("id", F.xxhash64("bucket", "w").alias("key")).distinct(), "prefixes")
-    pairs = sub.withColumnRenamed("id", "a").join(sub.withColumnRenamed("id", "b"), "key").where("a < b").select("a", "b").distinct()
-    return verified(pairs, sets, threshold)
+        self._write(moved.union(first).withColumn("step", F.lit(self.step)), "clusters")
 
 
 def _memories(spark: SparkSession, sf_dir: str) -> DataFrame:

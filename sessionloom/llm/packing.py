@@ -39,26 +39,29 @@ def fill(items: np.ndarray, room: np.ndarray) -> np.ndarray:
     """The container's number for each item (rows: tokens, segments, loss); each item must fit an empty container."""
     out = np.full(len(items), -1, np.int64)
     order = np.argsort(-items[:, 0], kind="stable")
-    scaled = items[order] / room
+    size = np.ascontiguousarray((items[order] / room).T)  # a row for each dimension
     bin_ = 0
     while len(order):
-        left, taken, weight = np.ones(items.shape[1]), [], scaled.sum(0) / scaled.sum(0).max()
-        alive = np.ones(len(order), bool)
+        weight = size.sum(1)
+        weight, left, taken = weight / weight.max(), np.ones(len(room)), []
+        open_ = np.zeros(len(order))  # -inf once an item is taken
         while True:
-            first = np.searchsorted(-scaled[:, 0], -left[0] - 1e-12)  # sorted by tokens: smaller items stand after it
+            first = np.searchsorted(-size[0], -left[0] - 1e-12)  # sorted by tokens: smaller items stand after it
             if first >= len(order):
                 break
-            rest = scaled[first:]
-            fits = alive[first:] & (rest[:, 1:] <= left[1:] + 1e-12).all(1)
-            if not fits.any():
+            score = open_[first:] + size[0, first:] * (left[0] * weight[0])
+            for k in range(1, len(room)):
+                score += size[k, first:] * (left[k] * weight[k])
+                score[size[k, first:] > left[k] + 1e-12] = -np.inf
+            pick = first + int(np.argmax(score))
+            if score[pick - first] == -np.inf:
                 break
-            pick = first + int(np.argmax(np.where(fits, rest @ (left * weight), -1)))
-            alive[pick] = False
+            open_[pick] = -np.inf
             taken.append(pick)
-            left = left - scaled[pick]
+            left = left - size[:, pick]
         out[order[taken]] = bin_
         bin_ += 1
-        order, scaled = order[alive], scaled[alive]
+        order, size = np.delete(order, taken), np.delete(size, taken, 1)
     return out
 
 

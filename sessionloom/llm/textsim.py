@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ALIKE = 0.6
-#: Buckets of at most so many classes are paired out; larger ones are split around pivots.
-BUCKET = 48
+#: Tables of at most so many classes are paired out; larger ones are split.
+BUCKET = 128
+#: Rows of one band that a task holds; more are sent on by their table keys.
+WIDE = 4096
+_CHUNK = 1 << 15
 
 _HAN = "㐀-䶿一-鿿豈-﫿"
 _WORD = re.compile(rf"[{_HAN}]+|[^\W_{_HAN}]+")
@@ -64,111 +67,185 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def bands(words: np.ndarray, count: int, rows: int, seed: int) -> np.ndarray:
     """``count`` keys, each of ``rows`` minhashes of a word set."""
     a, b = _multipliers(count * rows, seed)
-    low = ((words.astype(np.uint64)[:, None] * a + b) >> np.uint64(16)).min(0).reshape(count, rows)
+    low = np.full(count * rows, ~np.uint64(0))
+    for at in range(0, len(words), 4096):  # a very long text in pieces
+        low = np.minimum(low, ((words[at : at + 4096].astype(np.uint64)[:, None] * a + b) >> np.uint64(16)).min(0))
+    low = low.reshape(count, rows)
     key = np.zeros(count, np.uint64)
     for r in range(rows):
         key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + low[:, r])
     return key
 
 
-#: Rows of one band of the first collection that a task combines itself; more are sent on by their table keys.
-WIDE = 4096
+def banded(count: int, rows: int, seed: int = 1):
+    """A column function: the ``count`` band keys of the first collection, and 16 bits of each band of the second one."""
+    place = np.arange(count, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+    @F.pandas_udf("keys array<long>, other binary")
+    def run(words: pd.Series) -> pd.DataFrame:
+        one = [_mix(bands(w, count, rows, seed) + place).view(np.int64) for w in words]
+        two = [(bands(w, count, rows, seed + 1) >> np.uint64(48)).astype(np.uint16).tobytes() for w in words]
+        return pd.DataFrame({"keys": one, "other": two})
+
+    return run
+
+
+def tensored(sets: DataFrame, count: int, rows: int) -> DataFrame:
+    """(key, id, other) of sets (id, words): a row for each band of the first collection, with all bands of the second.
+
+    ``count`` bands of ``rows`` minhashes in two collections, combined pair by pair, stand for count * count tables:
+    2 * count * rows minhashes take the place of 2 * count * count * rows, and a pair of similarity s meets with probability
+    (1 - (1 - s**rows) ** count) ** 2. The table keys are formed where equal first bands meet.
+    """
+    return sets.where(F.size("words") > 0).select("id", banded(count, rows)("words").alias("b")).select(F.explode("b.keys").alias("key"), "id", F.col("b.other").alias("other"))
+
+
+def _batch(columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*columns, strict=True)], ["a", "b", "old", "kind"])
+
+
+def _fill(n: int, kind: int) -> np.ndarray:
+    return np.full(n, kind, np.int32)
+
+
+def _sides(i, j, id_, old):
+    """Pairs of rows as (a, b, old): b is the row of the history, if one of them is; else a < b. Two such rows are no pair."""
+    keep = ~(old[i] & old[j]) & ((id_[i] != id_[j]) | (old[i] != old[j]))
+    i, j = i[keep], j[keep]
+    i, j = np.where(old[i], j, i), np.where(old[i], i, j)
+    a, b, hist = id_[i], id_[j], old[j]
+    return np.where(hist, a, np.minimum(a, b)), np.where(hist, b, np.maximum(a, b)), hist
 
 
 def _combined(most: int, count: int, wide: int):
-    """Rows (key, id, other) sorted by key, ``other`` holding ``count`` 16-bit bands of the second collection, to pairs
-    (a, b) that share a table key, that is a key and one of the other bands.
+    """Rows (key, old, id, other) sorted by key, then old, to pairs (a, b, old) that share a table key: a key and one of the
+    other bands. Two old rows (of a history) are no pair; ``old`` says that b is one.
 
-    kind 0: a pair. kind 1: (table key, id) of a table with more than ``most`` ids. kind 2: (table key, id) of a band
-    key with more than ``wide`` rows, which are not held here.
+    kind 0: a pair. kind 1: (table key, id, old) of a table with more than ``most`` rows. kind 2: the same of a band key
+    with more than ``wide`` new rows, which are not held here; old rows beyond ``wide`` stream past the new ones.
     """
 
     def tables(key: np.ndarray, other: np.ndarray) -> np.ndarray:
         place = np.arange(count, dtype=np.uint64) << np.uint64(16)
         return _mix(_mix(key.view(np.uint64))[:, None] + (place | other.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
-    def close(key: np.ndarray, id_: np.ndarray, other: np.ndarray):
-        """All of some whole bands."""
-        lone = np.ones(len(key), bool)
-        lone[1:] &= key[1:] != key[:-1]
-        lone[:-1] &= key[1:] != key[:-1]
-        key, id_, other = key[~lone], id_[~lone], other[~lone]
-        if not len(key):
-            return
-        table, ids = tables(key, other).ravel(), np.repeat(id_, count)
-        order = np.argsort(table, kind="stable")
-        table, ids = table[order], ids[order]
-        cut = np.flatnonzero(np.concatenate([[True], table[1:] != table[:-1], [True]]))
-        size = np.diff(cut)
-        two = cut[:-1][size == 2]
-        out = [(ids[two], ids[two + 1], np.zeros(len(two), np.int32))]
-        for s, n in zip(cut[:-1][size > 2], size[size > 2], strict=True):
-            if n > most:
-                out.append((table[s : s + n], ids[s : s + n], np.ones(n, np.int32)))
+    def sharing(i: np.ndarray, j: np.ndarray, other: np.ndarray):
+        """Of the pairs of rows those with an equal second band."""
+        for at in range(0, len(i), _CHUNK):
+            x, y = i[at : at + _CHUNK], j[at : at + _CHUNK]
+            same = (other[x] == other[y]).view(np.uint64)
+            hit = functools.reduce(np.bitwise_or, [same[:, c] for c in range(same.shape[1])]) != 0
+            yield x[hit], y[hit]
+
+    def paired(i, j, id_, other, old):
+        live = ~(old[i] & old[j])
+        for x, y in sharing(i[live], j[live], other):
+            a, b, hist = _sides(x, y, id_, old)
+            yield a, b, hist, _fill(len(a), 0)
+
+    def large(s: slice, key, id_, other, old):
+        """One band of many rows: its tables by sorting."""
+        n = s.stop - s.start
+        value = ((np.arange(count, dtype=np.int64) << 16) | other[s].astype(np.int64)).ravel()
+        row = np.repeat(np.arange(s.start, s.stop), count)
+        order = np.argsort(value, kind="stable")
+        value, row = value[order], row[order]
+        cut = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1], [True]]))
+        seen = []
+        for at, size in zip(cut[:-1], np.diff(cut), strict=True):
+            own = row[at : at + size]
+            if size < 2 or old[own].all():
+                continue
+            if size > most:
+                spot = int(value[at]) >> 16
+                name = tables(key[own[:1]], other[own[:1]])[0, spot]
+                yield np.full(size, name), id_[own], old[own], _fill(size, 1)
             else:
-                i, j = np.triu_indices(n, 1)
-                out.append((ids[s + i], ids[s + j], np.zeros(len(i), np.int32)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b", "kind"])
+                i, j = np.triu_indices(size, 1)
+                seen.append((own[i] - s.start) * n + own[j] - s.start)
+        if seen:
+            both = np.unique(np.concatenate(seen))
+            a, b, hist = _sides(both // n + s.start, both % n + s.start, id_, old)
+            yield a, b, hist, _fill(len(a), 0)
+
+    def close(key, old, id_, other):
+        """All of some whole bands."""
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        start, size = cut[:-1], np.diff(cut)
+        for n in np.unique(size[(size > 1) & (size <= BUCKET)]):
+            i, j = np.triu_indices(n, 1)
+            own = start[size == n][:, None]
+            yield from paired((own + i).ravel(), (own + j).ravel(), id_, other, old)
+        for at, n in zip(start[size > BUCKET], size[size > BUCKET], strict=True):
+            yield from large(slice(at, at + n), key, id_, other, old)
+
+    def resent(key, old, id_, other):
+        yield tables(key, other).ravel(), np.repeat(id_, count), np.repeat(old, count), _fill(len(key) * count, 2)
+
+    def past(new, key, old, id_, other):
+        """Old rows of a band against its new rows."""
+        n, m = len(new[2]), len(id_)
+        step = max(1, (1 << 20) // max(1, n))
+        ids, others, olds = np.concatenate([new[2], id_]), np.concatenate([new[3], other]), np.concatenate([new[1], old])
+        for at in range(n, n + m, step):
+            h = np.arange(at, min(n + m, at + step))
+            yield from paired(np.tile(np.arange(n), len(h)), np.repeat(h, n), ids, others, olds)
 
     def run(batches):
-        held, over = None, None
+        held, over, new = None, None, None  # over: a band that goes on and is too wide to hold; new: its new rows, if it streams
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, id_ = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            other = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, count)
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2)]
+            rows.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(-1, count))
             if held is not None:
-                key, id_, other = (np.concatenate(x) for x in zip(held, (key, id_, other), strict=True))
-            last = np.searchsorted(key, key[-1])
-            done = slice(0, last)
-            if over is not None and key[0] == over:  # the rest of a band that is too wide
-                end = np.searchsorted(key, over, "right")
-                yield pa.RecordBatch.from_arrays([pa.array(tables(key[:end], other[:end]).ravel()), pa.array(np.repeat(id_[:end], count)), pa.array(np.full(end * count, 2, np.int32))], ["a", "b", "kind"])
-                done = slice(end, max(end, last))
-            yield from close(key[done], id_[done], other[done])
-            start = max(done.stop, last)
-            held = (key[start:], id_[start:], other[start:])
-            if len(held[0]) > wide:
-                over = held[0][0]
-                yield pa.RecordBatch.from_arrays([pa.array(tables(held[0], held[2]).ravel()), pa.array(np.repeat(held[1], count)), pa.array(np.full(held[2].size, 2, np.int32))], ["a", "b", "kind"])
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            out = []
+            if over is not None:
+                end = int(np.searchsorted(rows[0], over, "right"))
+                front, rows = [x[:end] for x in rows], [x[end:] for x in rows]
+                if end:
+                    out += past(new, *front) if new is not None else resent(*front)
+                if len(rows[0]):
+                    over = new = None
+            if len(rows[0]):
+                last = int(np.searchsorted(rows[0], rows[0][-1]))
+                out += close(*[x[:last] for x in rows])
+                held = [x[last:] for x in rows]
+                if len(held[0]) > wide:
+                    over, fresh = held[0][0], ~held[1]
+                    if fresh.all():
+                        out += resent(*held)
+                    else:
+                        new = [x[fresh] for x in held]
+                        out += close(*new) if fresh.any() else []
+                        out += past(new, *[x[~fresh] for x in held])
+                    held = None
+            else:
                 held = None
-        if held is not None:
-            yield from close(*held)
+            if out:
+                yield _batch(out)
+        if held is not None and (out := list(close(*held))):
+            yield _batch(out)
 
     return run
 
 
-def meeting_tensored(sets: DataFrame, scratch, count: int, rows: int, most: int, wide: int = WIDE, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(pairs a < b, rows (bucket, id) of large tables) of sets (id, words) by tensored banding.
+def meeting(keyed: DataFrame, scratch, count: int, most: int = BUCKET, wide: int = WIDE) -> tuple[DataFrame, DataFrame]:
+    """(pairs, large) of rows (key, old, id, other) by tensored banding.
 
-    ``count`` bands of ``rows`` minhashes from each of two collections, combined pair by pair, stand for count * count
-    tables: 2 * count * rows minhashes take the place of 2 * count * count * rows, and a pair of similarity s meets
-    with probability (1 - (1 - s**rows) ** count) ** 2. A class is sent once for each band of the first collection,
-    with its bands of the second (of which 16 bits are kept; exact comparison follows), and the table keys are formed
-    where equal first bands meet.
+    pairs: (a, b, old) that share a table, b being a row of the history where ``old``; else a < b. large: (bucket, id, old) of tables with
+    more than ``most`` rows, at least one of them new. A class has many keys, so one key is a small part of all rows
+    even where a third of the classes share it.
     """
-
-    @F.pandas_udf("keys array<long>, other binary")
-    def banded(words: pd.Series) -> pd.DataFrame:
-        place = np.arange(count, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        one = [_mix(bands(w, count, rows, seed) + place).view(np.int64) for w in words]
-        two = [(bands(w, count, rows, seed + 1) >> np.uint64(48)).astype(np.uint16).tobytes() for w in words]
-        return pd.DataFrame({"keys": one, "other": two})
-
-    sent = sets.select("id", banded("words").alias("b")).select(F.explode("b.keys").alias("key"), "id", F.col("b.other").alias("other"))
-    met = sent.repartition("key").sortWithinPartitions("key").mapInArrow(_combined(most, count, wide), "a long, b long, kind int")
-    met = scratch.keep(met.select(F.when(F.col("kind") == 0, F.least("a", "b")).otherwise(F.col("a")).alias("a"), F.when(F.col("kind") == 0, F.greatest("a", "b")).otherwise(F.col("b")).alias("b"), "kind").distinct(), "combined")
-    pairs, large = meeting(met.where("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("id")), scratch, most)
-    return met.where("kind = 0 AND a < b").select("a", "b").union(pairs).distinct(), met.where("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("id")).union(large)
-
-
-def band_keys(count: int, rows: int, seed: int = 7):
-    @F.pandas_udf("array<long>")
-    def run(words: pd.Series) -> pd.Series:
-        place = np.arange(count, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-        return pd.Series([_mix(bands(w, count, rows, seed) + place).view(np.int64) for w in words])
-
-    return run
+    placed = keyed.select("key", "old", "id", "other").repartition("key").sortWithinPartitions("key", "old")
+    met = placed.mapInArrow(_combined(most, count, wide), "a long, b long, old boolean, kind int")
+    met = scratch.keep(met.distinct(), "combined")
+    again = met.where("kind = 2").select(F.col("a").alias("key"), "old", F.col("b").alias("id"))
+    again = scratch.keep(again.repartition("key").sortWithinPartitions("key", "old", "id").mapInArrow(_pairs(most), "a long, b long, old boolean, kind int").distinct(), "tables")
+    all_ = met.unionByName(again)
+    large = all_.where("kind = 1").select(F.col("a").alias("bucket"), F.col("b").alias("id"), "old")
+    return all_.where("kind = 0").select("a", "b", "old").distinct(), large
 
 
 def jaccard(a: str | Column, b: str | Column) -> Column:
@@ -180,62 +257,48 @@ def jaccard(a: str | Column, b: str | Column) -> Column:
 
 
 def _pairs(most: int):
-    """Rows (key, id) sorted by key to pairs of ids that share a key.
-
-    A key with more than ``most`` ids gives a row (key, id) marked hot for each instead. Sorted rows stream
-    through; at most ``most`` ids of the current key are held.
-    """
+    """Rows (key, old, id) sorted to pairs (a, b, old) that share a key, kind 0, or rows (key, id, old) of a key with more than ``most``
+    rows, kind 1. At most ``most`` rows of the current key are held."""
+
+    def close(key, old, id_):
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        start, size = cut[:-1], np.diff(cut)
+        for n in np.unique(size[(size > 1) & (size <= most)]):
+            i, j = np.triu_indices(n, 1)
+            own = start[size == n][:, None]
+            a, b, hist = _sides((own + i).ravel(), (own + j).ravel(), id_, old)
+            yield a, b, hist, _fill(len(a), 0)
+        many = np.repeat(size > most, size)
+        yield key[many], id_[many], old[many], _fill(int(many.sum()), 1)
 
     def run(batches):
-        held_key, held, hot = None, np.empty(0, np.int64), False
+        held, hot = None, None
         for batch in batches:
-            key, id_ = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            if not len(key):
+            if not batch.num_rows:
                 continue
-            cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-            out_a, out_b, out_hot = [], [], []
-
-            def close(ids, out_a=out_a, out_b=out_b):
-                if len(ids) > 1:
-                    i, j = np.triu_indices(len(ids), 1)
-                    out_a.append(np.minimum(ids[i], ids[j]))
-                    out_b.append(np.maximum(ids[i], ids[j]))
-                    out_hot.append(np.zeros(len(i), bool))
-
-            for s in np.flatnonzero((np.diff(cut) > 1) | (cut[:-1] == 0) | (cut[1:] == len(key))):
-                k, ids = key[cut[s]], id_[cut[s] : cut[s + 1]]
-                if k != held_key:
-                    if not hot:
-                        close(held)
-                    held_key, held, hot = k, np.empty(0, np.int64), False
-                if not hot:
-                    held = np.concatenate([held, ids])
-                    hot, ids = len(held) > most, held
-                    if hot:
-                        held = np.empty(0, np.int64)
-                if hot:
-                    out_a.append(np.full(len(ids), k))
-                    out_b.append(ids)
-                    out_hot.append(np.ones(len(ids), bool))
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b, out_hot)], ["a", "b", "hot"])
-        if not hot and len(held) > 1:
-            i, j = np.triu_indices(len(held), 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(held[i], held[j])), pa.array(np.maximum(held[i], held[j])), pa.array(np.zeros(len(i), bool))], ["a", "b", "hot"])
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            out = []
+            if hot is not None:
+                end = int(np.searchsorted(rows[0], hot, "right"))
+                out.append((rows[0][:end], rows[2][:end], rows[1][:end], _fill(end, 1)))
+                rows = [x[end:] for x in rows]
+            held = None
+            if len(rows[0]):
+                hot, last = None, int(np.searchsorted(rows[0], rows[0][-1]))
+                if len(rows[0]) - last > most:
+                    hot, last = rows[0][-1], len(rows[0])
+                out += close(*[x[:last] for x in rows])
+                held = [x[last:] for x in rows] if last < len(rows[0]) else None
+            if out:
+                yield _batch(out)
+        if held is not None and (out := list(close(*held))):
+            yield _batch(out)
 
     return run
 
 
-def meeting(keyed: DataFrame, scratch, most: int = BUCKET) -> tuple[DataFrame, DataFrame]:
-    """(pairs a < b of ids that share a small bucket, rows (bucket, id) of large buckets) from rows (key, id).
-
-    Every id has many keys, so a single key is a small part of all rows even where a third of the ids share it.
-    """
-    met = keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_pairs(most), "a long, b long, hot boolean")
-    met = scratch.keep(met.distinct(), "met")
-    return met.where(~F.col("hot")).select("a", "b").where("a < b"), met.where("hot").select(F.col("a").alias("bucket"), F.col("b").alias("id"))
-
-
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) with their similarity where it is at least the threshold; sets: (id, words)."""
     one = pairs.join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
@@ -243,39 +306,63 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return two.select("a", "b", jaccard("wa", "wb").alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def prefixes(members: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, id, w) of members (bucket, id, words): the words of which alike members of a bucket share one.
+
+    Sets alike to t share one of the first n - ceil(t * n) + 1 of their n words in any fixed order. The order is that of the
+    bucket itself, rarest word first, so what all members have in common comes last and meets nothing.
+    """
+    word = members.select("bucket", "id", F.explode("words").alias("w"))
+    often = word.groupBy("bucket", "w").agg(F.count("*").alias("n"))
+    own = word.join(often, ["bucket", "w"]).groupBy("bucket", "id").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("o"))
+    head = F.size("o") - F.ceil(F.size("o") * F.lit(threshold) - 1e-9).cast("int") + 1
+    return own.select("bucket", "id", F.explode(F.slice("o", F.lit(1), head)).alias("x")).where("x.n > 1").select("bucket", "id", F.col("x.w").alias("w"))
+
+
+def alike_in_large(large: DataFrame, sets: DataFrame, scratch, threshold: float) -> DataFrame:
+    """(a, b, old): the pairs in large buckets (bucket, id, old) that share a prefix word; sets: (id, words)."""
+    members = scratch.keep(large.join(sets, "id"), "large-members")
+    sub = prefixes(members.select("bucket", "id", "words").distinct(), threshold).join(members.select("bucket", "id", "old"), ["bucket", "id"])
+    sub = scratch.keep(sub.select(F.xxhash64("bucket", "w").alias("key"), "id", "old").distinct(), "large-prefixes")
+    side = lambda p: [F.col("id").alias(p), F.col("old").alias(f"old_{p}")]
+    pairs = sub.where(~F.col("old")).select("key", *side("a")).join(sub.select("key", *side("b")), "key")
+    return pairs.where(F.col("old_b") | (F.col("a") < F.col("b"))).select("a", "b", F.col("old_b").alias("old")).distinct()
+
+
 def split_large(large: DataFrame, sets: DataFrame, scratch, threshold: float, rounds: int = 6, pivots: int = 16) -> DataFrame | None:
-    """Links (a, b, similarity) inside large buckets that join everything which alike pairs there join.
+    """Links (a, b, similarity) inside large buckets (bucket, id) that join everything which alike pairs there join.
 
     Each round takes pivots in every bucket and the distance (1 - similarity, a metric) of all members to them. A
     member within reach of a pivot belongs to the nearest one and is linked to it, which joins a pivot's members
     without comparing them to each other. Any other member x can be alike to a member y of a pivot only if
-    d(x, pivot) - d(y, pivot) is within reach, so only those are compared. Members near no pivot go on to the next
-    round. What is left after the last round, where few are alike at all, is compared pair by pair.
+    d(x, pivot) - d(y, pivot) is within reach and the two share a prefix word, so only those are compared. Members near no
+    pivot go on to the next round; what is left after the last one is compared where prefix words are shared.
     """
     if large.isEmpty():
         return None
     reach, found = 1 - threshold + 1e-9, []
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    live = scratch.keep(large.join(sets, "id"), "large0")
+    live = scratch.keep(large.select("bucket", "id").distinct().join(sets, "id"), "large0")
+    word = scratch.keep(prefixes(live, threshold), "prefixes")
     for step in range(rounds):
         draw = F.struct(F.xxhash64("bucket", "id", F.lit(step)).alias("h"), "id", "words")
         drawn = live.groupBy("bucket", F.pmod(F.xxhash64("id", F.lit(step)), F.lit(pivots)).alias("s")).agg(F.min(draw).alias("p"))
-        drawn = drawn.select("bucket", F.col("p.id").alias("pivot"), F.col("p.words").alias("pw"))
-        far = live.join(drawn, "bucket").select("bucket", "id", "words", "pivot", (1 - jaccard("words", "pw")).alias("d"))
+        drawn = scratch.keep(drawn.select("bucket", F.col("p.id").alias("pivot"), F.col("p.words").alias("pw")), f"pivots{step}")
+        far = live.join(drawn, "bucket").select("bucket", "id", "pivot", (1 - jaccard("words", "pw")).alias("d"))
         far = scratch.keep(far, f"far{step}")
         home = far.groupBy("bucket", "id").agg(F.min(F.struct("d", "pivot")).alias("m")).select("bucket", "id", F.col("m.d").alias("least"), F.col("m.pivot").alias("home"))
         home = scratch.keep(home, f"home{step}")
         in_ball = home.where(F.col("least") <= reach)
         found.append(in_ball.where("id <> home").select(*pair("id", "home"), (1 - F.col("least")).alias("similarity")))
-        near = in_ball.where("least > 0").select("bucket", F.col("home").alias("pivot"), F.col("id").alias("y"), F.col("least").alias("dy"))
-        edge = far.where((F.col("d") > reach) & (F.col("d") <= 2 * reach)).select("bucket", "pivot", F.col("id").alias("x"), "d").join(near, ["bucket", "pivot"])
-        edge = edge.where(F.col("d") - F.col("dy") <= reach).select(*pair("x", "y")).where("a < b").distinct()
+        near = in_ball.where("least > 0").select("bucket", F.col("home").alias("pivot"), F.col("id").alias("y"), F.col("least").alias("dy")).join(word.withColumnRenamed("id", "y"), ["bucket", "y"])
+        outer = far.where((F.col("d") > reach) & (F.col("d") <= 2 * reach)).withColumnRenamed("id", "x").join(word.withColumnRenamed("id", "x"), ["bucket", "x"])
+        edge = outer.join(near, ["bucket", "pivot", "w"]).where(F.col("d") - F.col("dy") <= reach).select(*pair("x", "y")).where("a < b").distinct()
         found.append(scratch.keep(verified(edge, sets, threshold), f"edge{step}"))
-        # The pivots' balls may touch as well.
+        # The pivots' balls may touch as well: at most ``pivots`` of a bucket meet here.
         ends = drawn.select("bucket", "pivot").withColumnRenamed("pivot", "x").join(drawn.select("bucket", F.col("pivot").alias("y")), "bucket").where("x < y")
         found.append(verified(ends.select(*pair("x", "y")).distinct(), sets, threshold))
         live = scratch.keep(live.join(home.where(F.col("least") > reach).select("bucket", "id"), ["bucket", "id"]).select("id", "bucket", "words"), f"large{step + 1}")
         if live.isEmpty():
-            break
-    rest = live.select("bucket", F.col("id").alias("a")).join(live.select("bucket", F.col("id").alias("b")), "bucket").where("a < b").select("a", "b").distinct()
-    return functools.reduce(DataFrame.unionByName, [*found, verified(rest, sets, threshold)])
+            return functools.reduce(DataFrame.unionByName, found)
+    rest = alike_in_large(live.select("bucket", "id", F.lit(False).alias("old")), sets, scratch.part("rest"), threshold)
+    return functools.reduce(DataFrame.unionByName, [*found, verified(rest.select("a", "b"), sets, threshold)])

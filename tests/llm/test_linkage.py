@@ -4,7 +4,7 @@ import numpy as np
 
 from sessionloom.llm import linkage
 from sessionloom.llm.linkage import Linker, learn_weights
-from sessionloom.llm.textsim import bands, word_set
+from sessionloom.llm.textsim import bands, meeting, word_set
 from sessionloom.runtime import Scratch
 
 
@@ -96,11 +96,45 @@ def test_weights_rise_with_agreement():
     assert learn_weights([]).shape == (2, 4)
 
 
-def test_pairs_at_the_threshold_share_a_band():
+def test_pairs_at_the_threshold_meet():
     rng = np.random.default_rng(3)
     missed = 0
     for _ in range(2000):  # 60 of 100 words in common
         w = rng.integers(0, 2**62, 100, dtype=np.int64)
-        a, b = (bands(x, linkage.BANDS, linkage.ROWS, 7) for x in (w[:80], np.concatenate([w[:60], w[80:]])))
-        missed += not (a == b).any()
-    assert missed <= 8
+        one, two = w[:80], np.concatenate([w[:60], w[80:]])
+        missed += not all((bands(one, linkage.BANDS, linkage.ROWS, s) == bands(two, linkage.BANDS, linkage.ROWS, s)).any() for s in (1, 2))
+    assert missed <= 15
+
+
+def test_a_small_batch_reads_as_much_from_a_long_history_as_from_a_short_one(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(5000)]
+    memories = [(f"m{i:05d}", f"title {i}", " ".join(rng.sample(words, 30))) for i in range(3000)]
+    read = {}
+    for n in (300, 3000):
+        linker = Linker(spark, Scratch(spark, "test").path, n, folder_rows=500)
+        linker.bootstrap(spark.createDataFrame(memories[:n], "id string, title string, lesson string"))
+        batch = frame(spark, [("c1", 1, *memories[17][1:]), ("c2", 2, "other", "one two three")])
+        seen = {}
+        kept = linker.kept
+
+        def counted(name, wanted=None, kept=kept, seen=seen):
+            t = kept(name, wanted)
+            seen[name] = seen.get(name, 0) + t.count()
+            return t
+
+        linker.kept = counted
+        assert {r.id: r.original_id for r in linker.link(batch).collect()} == {"c1": "m00017"}
+        read[n] = seen
+    # Two candidates have 96 keys: fewer than the long history's 288 folders of keys, more than the short one's 29.
+    assert read[3000]["keys"] < 96 * 520 and read[3000]["records"] < 1.2 * max(read[300]["records"], 1000) and read[3000]["clusters"] < 2100
+
+
+def test_keys_that_very_many_records_share(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "meeting", lambda keyed, scratch, count: meeting(keyed, scratch, count, most=6, wide=10))
+    memories, candidates = data(4)
+    many = [(f"x{i:03d}", "title 3", memories[3][2] + f" only{i}") for i in range(80)]
+    more = [(f"y{i:03d}", 300 + i, "title 40", " ".join(f"s{k}" for k in range(60)) + f" only{i}") for i in range(60)]
+    want = brute(memories + many, candidates + more)
+    got = {r.id: r.original_id for r in start(spark, memories + many).link(frame(spark, candidates + more)).collect()}
+    assert set(got) == set(want) and all(got[i] in want[i] for i in got)
