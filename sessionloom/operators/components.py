@@ -53,6 +53,9 @@ def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         if step:  # after the first round equal pairs of roots come from many tasks
             forest = forest.distinct()
         forest = scratch.keep(forest, f"forest{step}")
+        if step:  # what led to this table is not read again
+            scratch.drop(f"forest{step - 1}")
+            scratch.drop(f"best{step - 1}")
         best = scratch.keep(forest.groupBy("node").agg(F.min("root").alias("root"), F.max("root").alias("other")), f"best{step}")
         up = best.select(F.col("node").alias("root"), F.col("root").alias("top"))
         # Open is what a further round must join: a node with two roots, or a root that has one itself.

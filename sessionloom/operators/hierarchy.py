@@ -1,10 +1,11 @@
 """Parent-child links to full hierarchies (problem 4).
 
-The links are cut into fragments of bounded size. Inside a fragment every chain of parents is contracted to the
-first parent that lies outside (its exit). The exits alone form a smaller forest, the quotient, which is solved
-the same way; then each fragment's rows take over root, depth and path of their exit. A chain that never leaves
-its fragment and meets no root runs into a loop: a loop inside one fragment is seen there, a longer one in the
-quotient in which it has shrunk into one fragment.
+The links are cut into fragments, one or more for each shuffle partition, by ranges of the ids, since children are mostly
+made soon after their parents. Inside a fragment every chain of parents is contracted to the first parent that lies
+outside (its exit). The exits alone form a smaller forest, the quotient, which is solved the same way, with children
+moved beside their parents; then each fragment's rows take over root, depth and path of their exit. Only a quotient
+of few rows is one fragment. A chain that never leaves its fragment and meets no root runs into a loop: a loop inside
+one fragment is seen there, a longer one in the quotient in which it has shrunk into one fragment.
 
 Rows and results
     ``node_id`` string, ``parent_id`` string or null. Rows of a null node are left out, of several rows of one
@@ -20,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionloom.runtime import Scratch, small
+from sessionloom.runtime import Scratch
 
-#: Rows that one task holds while it contracts a fragment.
+#: Rows that one task holds at most while it contracts a fragment.
 FRAGMENT_ROWS = 500_000
+#: A quotient of at most so many rows is one fragment.
+QUOTIENT_ROWS = 10_000
 
 _LINKS = T.StructType([
     T.StructField("node_id", T.StringType()), T.StructField("next_id", T.StringType()),
@@ -55,9 +58,9 @@ def _contract(with_paths: bool):
         nxt = np.where(stop, own, inside)
         rank = pd.Series(t.low.to_numpy(object)).rank(method="dense").to_numpy().astype(np.int64)
         low = rank.copy()
-        steps = np.where(stop, 0, t.steps.to_numpy(np.int64))
+        steps, hops = np.where(stop, 0, t.steps.to_numpy(np.int64)), np.where(stop, 0, 1)
         for _ in range(max(1, int(n).bit_length())):
-            steps = steps + steps[nxt]
+            steps, hops = steps + steps[nxt], hops + hops[nxt]
             low = np.minimum(low, low[nxt])
             nxt = nxt[nxt]
         looped = ~stop[nxt]
@@ -71,15 +74,9 @@ def _contract(with_paths: bool):
         seg = t.seg.to_numpy(object)
         out_seg = np.empty(n, object)
         if with_paths:
-            walk = np.where(stop, own, inside)
-            for i in range(n):
-                if looped[i] or loop[nxt[i]] is not None:
-                    continue
-                chain, at = [seg[i]], i
-                while not stop[at]:
-                    at = walk[at]
-                    chain.append(seg[at])
-                out_seg[i] = [x for part in reversed(chain) if part is not None for x in part]
+            for i in np.argsort(hops, kind="stable"):  # what lies nearer to the exit first
+                if not looped[i] and loop[nxt[i]] is None:
+                    out_seg[i] = seg[i].tolist() if stop[i] else out_seg[inside[i]] + seg[i].tolist()
         end = nxt
         leaves = ~looped & ~resolved[end]
         yield pd.DataFrame({
@@ -96,12 +93,13 @@ def _contract(with_paths: bool):
     return run
 
 
-def _solve(links: DataFrame, rows: int, scratch: Scratch, with_paths: bool, most: int, level: int) -> DataFrame:
-    parts = max(1, -(-rows // most))
-    if parts == 1:
+def _solve(links: DataFrame, rows: int, scratch: Scratch, with_paths: bool, most: int, last: int, level: int) -> DataFrame:
+    tasks = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(tasks, -(-rows // most)) if level == 0 or rows > last else 1
+    if level == 0:
+        placed = links.repartitionByRange(parts, "node_id")
+    elif parts == 1:
         placed = links.repartition(1)
-    elif level == 0:
-        placed = links.repartition(parts, "node_id")
     else:
         # A chain shrinks wherever a child lies beside its parent. Of each parent one child may move to it, by the
         # toss of a coin, so that no fragment grows above twice its share, however many children a parent has.
@@ -116,18 +114,21 @@ def _solve(links: DataFrame, rows: int, scratch: Scratch, with_paths: bool, most
     count = quotient.count()
     if count == 0:
         return done
-    solved = _solve(quotient, count, scratch, with_paths, most, level + 1)
+    solved = _solve(quotient, count, scratch, with_paths, most, last, level + 1)
     up = solved.select(F.col("node_id").alias("next_id"), F.col("root_id").alias("r"), F.col("depth").alias("d"),
                        F.col("loop_id").alias("l"), F.col("seg").alias("s"))
-    grown = open_rows.join(small(up, count), "next_id").select(
+    grown = open_rows.join(up, "next_id").select(
         "node_id", F.lit(None).cast("string").alias("next_id"), F.lit(0).cast("long").alias("steps"), "low",
         F.col("r").alias("root_id"), F.when(F.col("l").isNotNull(), F.lit(-1)).otherwise(F.col("d") + F.col("steps")).cast("long").alias("depth"),
         F.col("l").alias("loop_id"), F.when(F.col("l").isNull(), F.concat("s", "seg")).alias("seg") if with_paths else F.lit(None).cast("array<string>").alias("seg"),
     )
-    return scratch.keep(done.where(F.col("next_id").isNull()).unionByName(grown), f"solved{level}")
+    out = scratch.keep(done.where(F.col("next_id").isNull()).unionByName(grown), f"solved{level}")
+    for name in (f"fragments{level}", f"quotient{level}", f"solved{level + 1}"):
+        scratch.drop(name)
+    return out
 
 
-def hierarchy(nodes: DataFrame, with_paths: bool = True, fragment_rows: int = FRAGMENT_ROWS) -> DataFrame:
+def hierarchy(nodes: DataFrame, with_paths: bool = True, fragment_rows: int = FRAGMENT_ROWS, quotient_rows: int = QUOTIENT_ROWS) -> DataFrame:
     """For each node: ``root_id``, ``depth``, ``path`` (root first, the node last) and ``loop_id``.
 
     A node on a loop, or below one, has root ``cycle``, depth -1, no path, and in ``loop_id`` the least id of the
@@ -147,7 +148,7 @@ def hierarchy(nodes: DataFrame, with_paths: bool = True, fragment_rows: int = FR
         F.when(up.isNull(), F.col("node_id")).alias("root_id"), F.lit(0).cast("long").alias("depth"),
         F.lit(None).cast("string").alias("loop_id"), F.array("node_id").alias("seg"),
     )
-    solved = _solve(links, rows, scratch, with_paths, fragment_rows, 0)
+    solved = _solve(links, rows, scratch, with_paths, fragment_rows, quotient_rows, 0)
     flags = known.select("node_id", "parent_id", (F.col("parent_id").isNotNull() & F.col("found").isNull()).alias("dangling"))
     return solved.join(flags, "node_id").select("node_id", "parent_id", "root_id", "depth", "loop_id", "dangling", F.col("seg").alias("path"))
 

@@ -10,8 +10,9 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampType
 
-#: Broadcast sides are counted first; a side above this many rows is joined by a shuffle instead.
+#: Broadcast sides are counted first; a side above this many rows of fixed width is joined by a shuffle instead.
 BROADCAST_ROWS = 100_000
 
 
@@ -83,8 +84,12 @@ class Scratch:
 
 
 def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows are few, else df as it is."""
-    return F.broadcast(df) if rows <= most else df
+    """df with a broadcast hint if its counted rows are few and all its columns of fixed width, so that rows bound bytes.
+
+    A side with texts or arrays is left to Spark, which knows its bytes once it is written.
+    """
+    fixed = (NumericType, BooleanType, DateType, TimestampType)
+    return F.broadcast(df) if rows <= most and all(isinstance(f.dataType, fixed) for f in df.schema) else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
