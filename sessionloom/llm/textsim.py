@@ -56,7 +56,7 @@ def class_id(words: Column) -> Column:
 @functools.cache
 def _multipliers(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return rng.integers(0, 2**63, count, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, count, np.uint64)
+    return rng.integers(0, 2**31, count, np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 2**32, count, np.uint32)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -64,16 +64,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def bands(words: np.ndarray, count: int, rows: int, seed: int) -> np.ndarray:
-    """``count`` keys, each of ``rows`` minhashes of a word set."""
-    a, b = _multipliers(count * rows, seed)
-    low = np.full(count * rows, ~np.uint64(0))
-    for at in range(0, len(words), 4096):  # a very long text in pieces
-        low = np.minimum(low, ((words[at : at + 4096].astype(np.uint64)[:, None] * a + b) >> np.uint64(16)).min(0))
-    low = low.reshape(count, rows)
-    key = np.zeros(count, np.uint64)
+def _lowest(words: np.ndarray, count: int, seed: int) -> np.ndarray:
+    """``count`` minhashes of a word set, of 32 bits each."""
+    a, b = _multipliers(count, seed)
+    w = (words >> 32).astype(np.uint32)[:, None]
+    if len(w) <= 4096:
+        return (w * a + b).min(0, initial=2**32 - 1)
+    low = np.full(count, 2**32 - 1, np.uint32)
+    for at in range(0, len(w), 4096):  # a very long text in pieces
+        low = np.minimum(low, (w[at : at + 4096] * a + b).min(0))
+    return low
+
+
+def bands(sets: list[np.ndarray], count: int, rows: int, seed: int) -> np.ndarray:
+    """For each word set ``count`` keys, each of ``rows`` minhashes."""
+    low = np.stack([_lowest(w, count * rows, seed) for w in sets]).reshape(len(sets), count, rows).astype(np.uint64)
+    key = np.zeros((len(sets), count), np.uint64)
     for r in range(rows):
-        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + low[:, r])
+        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + low[:, :, r])
     return key
 
 
@@ -83,9 +91,12 @@ def banded(count: int, rows: int, seed: int = 1):
 
     @F.pandas_udf("keys array<long>, other binary")
     def run(words: pd.Series) -> pd.DataFrame:
-        one = [_mix(bands(w, count, rows, seed) + place).view(np.int64) for w in words]
-        two = [(bands(w, count, rows, seed + 1) >> np.uint64(48)).astype(np.uint16).tobytes() for w in words]
-        return pd.DataFrame({"keys": one, "other": two})
+        if not len(words):
+            return pd.DataFrame({"keys": [], "other": []})
+        sets = words.tolist()
+        one = _mix(bands(sets, count, rows, seed) + place).view(np.int64)
+        two = (bands(sets, count, rows, seed + 1) >> np.uint64(48)).astype(np.uint16)
+        return pd.DataFrame({"keys": list(one), "other": [x.tobytes() for x in two]})
 
     return run
 
