@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,11 +22,11 @@ TYPES = ("decision", "root_cause", "pitfall", "know_how", "convention", "workflo
 
 
 def clusters(records: DataFrame, threshold: float = 0.35, least: int = 2, cap: int = 12) -> DataFrame:
-    """(domain, size, members): groups of alike records (id, domain, text, confidence) under each tag.
+    """(domain, size, members, place): groups of alike records (id, domain, text, confidence) under each tag.
 
     Records of a tag that steps of similarity join are a group; of more than ``cap`` members those of the highest
     confidence, then least id, stay, as the report is defined. Equal member lists of several tags are given once, under
-    the least tag. Repeated tags of a record count once; null tags are left out.
+    the least tag. Repeated tags of a record count once; null tags are left out. ``place`` orders the groups, largest first.
     """
     scratch = Scratch(records.sparkSession, "clusters")
     tagged = records.select("id", F.explode(F.array_distinct("domain")).alias("block"), "text", "confidence").where(F.col("block").isNotNull() & F.col("id").isNotNull())
@@ -40,7 +42,20 @@ def clusters(records: DataFrame, threshold: float = 0.35, least: int = 2, cap: i
     best = F.row_number().over(Window.partitionBy("block", "root").orderBy(F.desc_nulls_last("confidence"), "id"))
     kept = ranked.withColumn("rank", best).where(F.col("rank") <= cap)
     listed = kept.groupBy("block", "root").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("members"), F.count("*").alias("size"))
-    return listed.groupBy("members").agg(F.min("block").alias("domain"), F.max("size").alias("size")).select("domain", "size", "members")
+    groups = listed.groupBy("members").agg(F.min("block").alias("domain"), F.max("size").alias("size")).withColumns({"all": F.lit(0), "falling": -F.col("size")})
+    return running_totals(groups, ["all"], ["falling", "members"], {"place": "1"}, scratch=scratch.part("order")).select("domain", "size", "members", "place")
+
+
+#: Fixed value: what stands before the member ids in the note of a record that was made from a cluster.
+DERIVED = "derived from: "
+
+
+def tagged_clusters(groups: DataFrame, records: DataFrame) -> DataFrame:
+    """(members, tag, known): the tag that names a cluster's members, and whether a note of ``records`` (notes) ends in exactly it."""
+    note = records.select(F.explode("notes").alias("note")).where(F.col("note").contains(DERIVED))
+    tags = note.select(F.expr(f"substring(note, instr(note, '{DERIVED}'))").alias("tag"), F.lit(True).alias("known")).distinct()
+    t = groups.select("members", F.concat(F.lit(DERIVED), "members").alias("tag"))
+    return t.join(tags, "tag", "left").select("members", "tag", F.coalesce("known", F.lit(False)).alias("known"))
 
 
 # ---- candidates
@@ -177,26 +192,84 @@ def unprocessed(items: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFra
     return items.join(ledger.select(*keys).distinct(), keys, "left_anti")
 
 
+def removed(records: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
+    """records without the rows whose key is in ``gone``; null keys there remove nothing."""
+    return records.join(gone.where(F.col(key).isNotNull()).select(key).distinct(), key, "left_anti")
+
+
+def unique_ids(made: DataFrame, taken: DataFrame, order: list[str]) -> DataFrame:
+    """made (base, ...) with ``unique_id``: the base for the first row in ``order``, then base-2, base-3, ..., without ids in ``taken``.
+
+    ``taken``: (taken) ids with or without such a suffix. The k-th new row of a base gets the k-th free number; a row
+    number is a running total, so a base with very many rows is spread over tasks. ``order`` must end in an id.
+    """
+    ranked = running_totals(made, ["base"], order, {"_before": "1"})
+    held = taken.where(F.col("taken").isNotNull()).select(F.when(F.col("taken").rlike(r"-\d+$"), F.regexp_extract("taken", r"^(.*)-(\d+)$", 1)).otherwise(F.col("taken")).alias("base"), F.expr("try_cast(nullif(regexp_extract(taken, '^(.*)-([0-9]+)$', 2), '') AS bigint)").alias("n"))
+    held = held.select("base", F.coalesce("n", F.lit(1)).alias("n")).where("n > 0").distinct()
+    held = running_totals(held, ["base"], ["n"], {"_lower": "1"}).select("base", (F.col("n") - F.col("_lower") - 1).alias("_free"))  # free numbers below it
+    by_free = held.groupBy("base", "_free").agg(F.count("*").alias("_c"))
+    up = ranked.select("base", "_before").join(by_free, "base").where(F.col("_free") <= F.col("_before")).groupBy("base", "_before").agg(F.sum("_c").alias("_up"))
+    slot = F.col("_before") + 1 + F.coalesce("_up", F.lit(0))
+    t = ranked.join(up, ["base", "_before"], "left")
+    return t.select(*made.columns, F.when(slot == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), slot.cast("string"))).alias("unique_id"))
+
+
+def catalog_lines(records: DataFrame) -> DataFrame:
+    """(section, place, id, line): active and candidate records in a section for each project, by type, falling confidence and
+    id; those in quarantine in one section by id. Of repeated ids the greatest row counts. Records without a project are in no project's section."""
+    one = records.groupBy("id").agg(F.max(F.struct("status", "project", "type", "title", "confidence")).alias("r")).select("id", "r.*")
+    said = lambda c: F.coalesce(F.col(c), F.lit(""))
+    number = F.regexp_replace(F.col("confidence").cast("string"), r"\.0$", "")
+    live = one.where(F.col("status").isin("active", "candidate") & F.col("project").isNotNull())
+    line = F.concat(F.lit("- ["), said("title"), F.lit("](memories/"), "project", F.lit("/"), "id", F.lit(".md) — "), "type", F.lit(", confidence "), number, F.lit(", "), "status")
+    live = live.select(F.concat(F.lit("project "), "project").alias("section"), "id", line.alias("line"), "type", (-F.coalesce("confidence", F.lit(-1.0))).alias("falling"))
+    held = one.where("status = 'quarantined'").select(F.lit("quarantine").alias("section"), "id", F.concat(F.lit("- "), "id", F.lit(": "), said("title")).alias("line"), F.lit("").alias("type"), F.lit(0.0).alias("falling"))
+    return running_totals(live.unionByName(held), ["section"], ["type", "falling", "id"], {"place": "1"}).select("section", "place", "id", "line")
+
+
 def catalog(records: DataFrame) -> DataFrame:
     """(id, project, type, place): the place of each record in its project, by type, falling confidence and id."""
     t = records.select("id", "project", "type", "confidence").withColumn("falling", -F.coalesce("confidence", F.lit(-1.0)))
     return running_totals(t, ["project"], ["type", "falling", "id"], {"place": "1"}).select("id", "project", "type", "place")
 
 
+def _matches(types: tuple[str, ...], keywords: tuple[str, ...], low: Column) -> Column:
+    """Whether an item is of one of the types (any, if none are given) and its lower-case text has all keywords."""
+    ok = F.col("type").isin(*types) if types else F.lit(True)
+    for k in keywords:
+        ok = ok & F.contains(low, F.lit(k.lower()))
+    return F.coalesce(ok, F.lit(False))
+
+
 def rule_hits(items: DataFrame, rules: list[tuple[str, tuple[str, ...], tuple[str, ...], int]], text: Column) -> DataFrame:
     """(rule, hits, met): for rules (name, types, keywords, least) the items of one of the types whose text has all keywords.
 
     The rules become columns of one aggregation over the items, not rows of a cross join.
     """
     low = F.lower(text)
-
-    def match(types: tuple[str, ...], keywords: tuple[str, ...]) -> Column:
-        ok = F.col("type").isin(*types) if types else F.lit(True)
-        for k in keywords:
-            ok = ok & F.contains(low, F.lit(k.lower()))
-        return F.coalesce(ok, F.lit(False))
-
-    counts = items.agg(*[F.sum(match(t, k).cast("long")).alias(name) for name, t, k, _ in rules])
+    counts = items.agg(*[F.sum(_matches(t, k, low).cast("long")).alias(name) for name, t, k, _ in rules])
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.coalesce(F.col(n), F.lit(0)).alias("hits"), F.lit(least).alias("least")) for n, _, _, least in rules]))
     t = counts.select(rows.alias("r")).select("r.*")
     return t.select("rule", "hits", (F.col("hits") >= F.col("least")).alias("met"))
+
+
+def case_scores(items: DataFrame, run: list[str], cases: list[tuple], text: Column) -> DataFrame:
+    """(run columns, case, met, expected, forbidden, extras, total, passed) for each case and run, in one aggregation.
+
+    A case: name, rules to meet (types, keywords, least), rules that must not be met, the most extras (items that meet none of
+    the case's rules) and the most items, None for any number. A run without items has no row.
+    """
+    low, sums = F.lower(text), []
+    for i, (_, expect, forbid, _, _) in enumerate(cases):
+        for kind, rules in (("e", expect), ("f", forbid)):
+            sums += [F.sum(_matches(t, k, low).cast("long")).alias(f"_{kind}{i}_{j}") for j, (t, k, _) in enumerate(rules)]
+        any_ = functools.reduce(lambda a, b: a | b, [_matches(t, k, low) for t, k, _ in expect], F.lit(False))
+        sums.append(F.sum((~any_).cast("long")).alias(f"_x{i}"))
+    g = items.groupBy(*run).agg(F.count("*").alias("total"), *sums)
+    rows = []
+    for i, (name, expect, forbid, extra, most) in enumerate(cases):
+        met = functools.reduce(lambda a, b: a + b, [(F.col(f"_e{i}_{j}") >= n).cast("long") for j, (_, _, n) in enumerate(expect)], F.lit(0).cast("long"))
+        bad = functools.reduce(lambda a, b: a + b, [F.col(f"_f{i}_{j}") for j in range(len(forbid))], F.lit(0).cast("long"))
+        ok = (met == len(expect)) & (bad == 0) & (F.lit(True) if extra is None else F.col(f"_x{i}") <= extra) & (F.lit(True) if most is None else F.col("total") <= most)
+        rows.append(F.struct(F.lit(name).alias("case"), met.alias("met"), F.lit(len(expect)).cast("long").alias("expected"), bad.alias("forbidden"), F.col(f"_x{i}").alias("extras"), ok.alias("passed")))
+    return g.select(*run, "total", F.explode(F.array(*rows)).alias("r")).select(*run, "r.*", "total")

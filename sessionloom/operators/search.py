@@ -90,3 +90,16 @@ def reranked(hits: DataFrame, now: str, limit: int = 10, domain: str | None = No
     recent = F.to_timestamp("updated_at") >= F.to_timestamp(F.lit(now)) - F.expr("INTERVAL 30 DAYS")
     t = hits.withColumn("rank", rank).withColumn("merit", F.col("rank") - F.col("confidence") - F.when(recent, 0.75).otherwise(0.0))
     return t.orderBy("merit", "rank").limit(min(limit, 50))
+
+
+def search(df: DataFrame, query: str, now: str, project: str | None = None, kind: str | None = None, domain: str | None = None, include_tentative: bool = False, limit: int = 10) -> DataFrame:
+    """The whole search: active records of confidence 0.5 or more (any, with ``include_tentative``) by BM25, the best 30 (or ``limit``, 50 at
+    most) fetched, then filtered by domain and ranked again; so a domain filter may leave fewer rows than the limit."""
+    limit = min(limit, 50)
+    pool = bm25(df, query, limit=max(30, limit), project=project, kind=kind, status="active", min_confidence=0.0 if include_tentative else 0.5)
+    return reranked(pool, now, limit=limit, domain=domain)
+
+
+def by_id(df: DataFrame, id_: str) -> DataFrame:
+    """The record of an id, or no row; the filter reaches the scan."""
+    return df.where(F.col("id") == id_).limit(1)

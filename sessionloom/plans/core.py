@@ -30,8 +30,7 @@ def search_bm25(spark, sf_dir):
 
 
 def search_memory(spark, sf_dir):
-    pool = search.bm25(memories(spark, sf_dir, _SEARCHED), QUERY, limit=30, status="active", min_confidence=0.5)
-    t = search.reranked(pool, NOW, limit=10)
+    t = search.search(memories(spark, sf_dir, _SEARCHED), QUERY, NOW)
     return t.select("id", "title", "trigger_text", "project", "type", F.array_join("domain", ",").alias("domain"), "confidence", "updated_at", F.round("merit", 6).alias("merit"))
 
 
@@ -76,8 +75,10 @@ def record_ids(spark, sf_dir):
 
 def linked_records(spark, sf_dir):
     """Each pointer of a record with the state of the record it names, one hop; ``missing`` if there is none."""
-    t = memories(spark, sf_dir, ["superseded_by", "supersedes", "promoted_from", "status", "project"])
-    links = t.select("id", F.explode(F.array(*[F.struct(F.lit(c).alias("link"), F.col(c).alias("target")) for c in ("superseded_by", "supersedes", "promoted_from")])).alias("l")).select("id", "l.*")
+    t = memories(spark, sf_dir, ["superseded_by", "supersedes", "promoted_from", "absorbs", "status", "project"])
+    single = F.array(*[F.struct(F.lit(c).alias("link"), F.col(c).alias("target")) for c in ("superseded_by", "supersedes", "promoted_from")])
+    several = F.transform(F.coalesce("absorbs", F.array().cast("array<string>")), lambda x: F.struct(F.lit("absorbs").alias("link"), x.alias("target")))
+    links = t.select("id", F.explode(F.concat(single, several)).alias("l")).select("id", "l.*")
     links = links.where(F.trim("target").isNotNull() & (F.trim("target") != "") & (F.lower(F.trim("target")) != "null")).withColumn("target", F.trim("target"))
     there = t.select(F.col("id").alias("target"), F.col("status").alias("target_status"), F.col("project").alias("target_project"))
     return links.join(there, "target", "left").select("id", "link", "target", F.coalesce("target_status", F.lit("missing")).alias("target_status"), "target_project")
@@ -117,7 +118,7 @@ def clusters(spark, sf_dir):
 
 def candidate_validation(spark, sf_dir):
     c = table(spark, sf_dir, "candidates")
-    known = in_force(table(spark, sf_dir, "messages"), "id", "time_updated", ["id", "time_updated", "session_id"]).select("session_id", F.col("id").alias("message_id"))
+    known = transcripts.turns(table(spark, sf_dir, "messages"), table(spark, sf_dir, "parts"))  # only rendered messages have an anchor
     cols = ["id", "session_id", "type", "title", "trigger_text", "lesson", "domain", "evidence", "salience", "volatile"]
     return rec.validated(c.select(*cols).distinct(), known).select("id", F.array_join("reasons", ";").alias("reasons"), F.array_join("secrets", ",").alias("secrets"))
 
@@ -267,6 +268,11 @@ _NOISY = r"""(length(t) >= 32 AND NOT contains(t, '://') AND NOT regexp_matches(
 _SECRETS = r"""list_filter([CASE WHEN regexp_matches({0}, '-----BEGIN [A-Z ]*PRIVATE KEY-----') THEN 'pem-private-key' END, CASE WHEN regexp_matches({0}, 'AKIA[0-9A-Z]{{16}}') THEN 'aws-access-key' END,
  CASE WHEN regexp_matches({0}, '\b(?:sk|ghp|gho|xox[bpas])[-_][A-Za-z0-9]{{16,}}\b') THEN 'token-prefix' END, CASE WHEN len(list_filter(regexp_split_to_array({0}, '[\t\n\x0b\f\r \x{{00a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}\x{{feff}}]+'), lambda t: {1})) > 0 THEN 'high-entropy-token' END], lambda x: x IS NOT NULL)"""
 
+_TURNS = f"""{_MSG}, {_PRT}, p AS (SELECT id, message_id, json_extract_string(j, '$.type') AS kind, trim(json_extract_string(j, '$.text'), E' \\t\\n\\r') AS text, coalesce(json_extract_string(j, '$.tool'), 'unknown') AS tool, coalesce(CAST(json_extract(j, '$.state.input') AS VARCHAR), '') AS given, coalesce(json_extract_string(j, '$.state.status'), '?') AS status FROM (SELECT id, message_id, {_JSON} AS j FROM prt)),
+b AS (SELECT id, message_id, CASE WHEN kind = 'text' AND text <> '' THEN text WHEN kind = 'tool' THEN '> 🔧 ' || tool || ' ' || CASE WHEN length(given) > 160 THEN left(given, 160) || '…' ELSE given END || ' → ' || status END AS body FROM p),
+t AS (SELECT message_id, string_agg(body, E'\\n\\n' ORDER BY id) AS text FROM b WHERE body IS NOT NULL GROUP BY 1),
+n AS (SELECT session_id, msg.id, coalesce(json_extract_string({_JSON}, '$.role'), '') = 'user' AS u, row_number() OVER (PARTITION BY session_id ORDER BY time_created, msg.id) AS turn, time_created, t.text FROM msg JOIN t ON t.message_id = msg.id WHERE session_id IS NOT NULL AND json_valid(data) AND json_type({_JSON}) IN ('OBJECT', 'ARRAY'))"""
+
 ORACLE = {
     "search_bm25": f"WITH {_BM25} SELECT id, round(score, 6) AS score FROM sc",
     "search_memory": f"""WITH {_BM25}, top AS (SELECT *, row_number() OVER (ORDER BY score, id) - 1 AS rank FROM sc ORDER BY score, id LIMIT 30)
@@ -282,7 +288,7 @@ SELECT id, confidence, score FROM s WHERE score < 0 ORDER BY score, confidence D
     "record_confidence": f"""WITH {M}, c AS (SELECT id, len(list_distinct(list_transform(evidence, lambda e: e.session))) AS sessions, review, status FROM m)
 SELECT id, CAST(sessions AS INT) AS sessions, floor(least(CAST(0.95 AS DOUBLE), greatest(CAST(0.1 AS DOUBLE), CAST(0.5 AS DOUBLE) + CAST(0.15 AS DOUBLE) * (sessions - 1) + CASE WHEN review = 'human_approved' THEN CAST(0.2 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END - CASE WHEN status = 'superseded' THEN CAST(0.25 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)) * 100 + CAST(0.5 AS DOUBLE)) / CAST(100 AS DOUBLE) AS confidence FROM c""",
     "record_ids": f"WITH {M} SELECT id, concat('mem_', strftime(CAST(created_at AS TIMESTAMP), '%Y%m%d'), '_', left(sha256(project || chr(10) || title), 6)) AS made_id, 'sha256:' || left(sha256(title), 16) AS title_hash FROM m",
-    "linked_records": f"""WITH {M}, l AS (SELECT id, 'superseded_by' AS link, trim(superseded_by) AS target FROM m UNION ALL SELECT id, 'supersedes', trim(supersedes) FROM m UNION ALL SELECT id, 'promoted_from', trim(promoted_from) FROM m)
+    "linked_records": f"""WITH {M}, l AS (SELECT id, 'superseded_by' AS link, trim(superseded_by) AS target FROM m UNION ALL SELECT id, 'supersedes', trim(supersedes) FROM m UNION ALL SELECT id, 'promoted_from', trim(promoted_from) FROM m UNION ALL SELECT id, 'absorbs', trim(unnest(absorbs)) FROM m)
 SELECT l.id, link, target, coalesce(m.status, 'missing') AS target_status, m.project AS target_project FROM l LEFT JOIN m ON m.id = l.target WHERE target <> '' AND lower(target) <> 'null'""",
     "evidence_union": f"""WITH {M}, e AS (SELECT id, i AS k, evidence[i].session AS session, evidence[i].anchors AS anchors FROM (SELECT id, evidence, unnest(range(1, len(evidence) + 1)) AS i FROM m)),
 a AS (SELECT id, session, anchor, min(row(k, j)) AS first FROM (SELECT id, session, k, j, anchors[j] AS anchor FROM (SELECT *, unnest(range(1, len(anchors) + 1)) AS j FROM e)) GROUP BY ALL),
@@ -300,9 +306,9 @@ r AS (SELECT dom, id, id AS other FROM k UNION SELECT r.dom, r.id, e.b FROM r JO
 g AS (SELECT dom, id, min(other) AS root FROM r GROUP BY 1, 2),
 q AS (SELECT g.*, row_number() OVER (PARTITION BY g.dom, root ORDER BY k.confidence DESC NULLS LAST, g.id) AS place, count(*) OVER (PARTITION BY g.dom, root) AS n FROM g JOIN k ON k.dom = g.dom AND k.id = g.id),
 c AS (SELECT dom, root, string_agg(id, ',' ORDER BY id) AS members, count(*) AS size FROM q WHERE place <= 12 AND n >= 2 GROUP BY 1, 2)
-SELECT min(dom) AS domain, max(size) AS size, members FROM c GROUP BY members""",
-    "candidate_validation": rf"""WITH {_MSG}, c AS (SELECT DISTINCT id, session_id, type, title, trigger_text, lesson, domain, evidence, salience, volatile FROM candidates),
-u AS (SELECT DISTINCT id FROM (SELECT id, session_id, regexp_replace(e.message_id, '^#', '') AS mid FROM (SELECT id, session_id, unnest(evidence) AS e FROM c)) x WHERE mid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM msg WHERE msg.session_id = x.session_id AND msg.id = x.mid))
+SELECT min(dom) AS domain, max(size) AS size, members, row_number() OVER (ORDER BY max(size) DESC, members) - 1 AS place FROM c GROUP BY members""",
+    "candidate_validation": rf"""WITH {_TURNS}, c AS (SELECT DISTINCT id, session_id, type, title, trigger_text, lesson, domain, evidence, salience, volatile FROM candidates),
+u AS (SELECT DISTINCT id FROM (SELECT id, session_id, regexp_replace(e.message_id, '^#', '') AS mid FROM (SELECT id, session_id, unnest(evidence) AS e FROM c)) x WHERE mid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM n WHERE n.session_id = x.session_id AND n.id = x.mid))
 SELECT id, array_to_string(list_filter([
  CASE WHEN coalesce(type IN ('decision', 'root_cause', 'pitfall', 'know_how', 'convention', 'workflow'), false) THEN NULL ELSE 'type' END,
  CASE WHEN coalesce(trim(title), '') = '' THEN 'title' END, CASE WHEN coalesce(trim(trigger_text), '') = '' THEN 'trigger_text' END, CASE WHEN coalesce(trim(lesson), '') = '' THEN 'lesson' END,
@@ -328,10 +334,7 @@ WHERE coalesce(trim(parent_id), '') IN ('', 'null') AND time_updated <= 17814816
     "session_models": f"""WITH {_SES}, {_MSG}, l AS (SELECT session_id, arg_max(mid, (time_created, id)) AS last FROM (SELECT id, session_id, time_created, nullif(json_extract_string({_JSON}, '$.modelID'), '') AS mid FROM msg) WHERE mid IS NOT NULL GROUP BY 1),
 s AS (SELECT id, nullif(json_extract_string(j, '$.id'), '') AS own, nullif(json_extract_string(j, '$.providerID'), '') AS provider FROM (SELECT id, CASE WHEN json_valid(model) THEN model ELSE 'null' END AS j FROM ses))
 SELECT s.id, coalesce(provider || '/' || own, own, l.last, 'unknown') AS model FROM s LEFT JOIN l ON l.session_id = s.id""",
-    "transcript_render": f"""WITH {_MSG}, {_PRT}, p AS (SELECT id, message_id, json_extract_string(j, '$.type') AS kind, trim(json_extract_string(j, '$.text'), E' \\t\\n\\r') AS text, coalesce(json_extract_string(j, '$.tool'), 'unknown') AS tool, coalesce(CAST(json_extract(j, '$.state.input') AS VARCHAR), '') AS given, coalesce(json_extract_string(j, '$.state.status'), '?') AS status FROM (SELECT id, message_id, {_JSON} AS j FROM prt)),
-b AS (SELECT id, message_id, CASE WHEN kind = 'text' AND text <> '' THEN text WHEN kind = 'tool' THEN '> 🔧 ' || tool || ' ' || CASE WHEN length(given) > 160 THEN left(given, 160) || '…' ELSE given END || ' → ' || status END AS body FROM p),
-t AS (SELECT message_id, string_agg(body, E'\\n\\n' ORDER BY id) AS text FROM b WHERE body IS NOT NULL GROUP BY 1),
-n AS (SELECT session_id, msg.id, coalesce(json_extract_string({_JSON}, '$.role'), '') = 'user' AS u, row_number() OVER (PARTITION BY session_id ORDER BY time_created, msg.id) AS turn, time_created, t.text FROM msg JOIN t ON t.message_id = msg.id WHERE session_id IS NOT NULL AND json_valid(data) AND json_type({_JSON}) IN ('OBJECT', 'ARRAY')),
+    "transcript_render": f"""WITH {_TURNS},
 r AS (SELECT session_id, count(*) AS turns, CAST(sum(CASE WHEN u THEN 1 ELSE 0 END) AS BIGINT) AS user_turns, string_agg('## T' || turn || ' [' || strftime(make_timestamp(time_created * 1000), '%H:%M') || '] ' || CASE WHEN u THEN 'User' ELSE 'Assistant' END || ' {{#' || id || '}}' || E'\\n\\n' || text || E'\\n', E'\\n' ORDER BY turn) AS body FROM n GROUP BY 1)
 SELECT session_id, turns, user_turns, body, 'sha256:' || left(sha256(body), 16) AS content_hash FROM r""",
     "part_type_counts": f"WITH {_PRT} SELECT coalesce(json_extract_string(data, '$.type'), 'none') AS kind, count(*) AS n, CAST(sum(length(data)) AS BIGINT) AS characters FROM prt WHERE json_valid(data) AND json_type({_JSON}) IN ('OBJECT', 'ARRAY') GROUP BY 1",

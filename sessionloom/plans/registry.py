@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionloom.plans import core, trees
+from sessionloom.plans import core, store, trees
 
-_MODULES = (core, trees)
+_MODULES = (core, store, trees)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

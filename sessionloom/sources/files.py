@@ -86,17 +86,32 @@ def record_text() -> Column:
     return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n\n"), js_trim(F.coalesce("lesson", F.lit(""))), notes, F.lit("\n"))
 
 
-def records(files: DataFrame) -> DataFrame:
-    """Memory records from their files: the record's columns, ``path``, and ``errors`` naming the fields that fail.
+#: Ends each text in a file of many.
+MARK = "\x1e\n"
+
+
+def write_texts(df: DataFrame, folder: str) -> None:
+    """Writes texts (text) as files of many texts each, through Spark's own writer, each text ended by ``MARK``."""
+    df.select("text").where("text IS NOT NULL").write.mode("append").option("lineSep", MARK).text(folder)
+
+
+def read_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, text) of texts that ``write_texts`` wrote; path is the file of many."""
+    t = spark.read.option("lineSep", MARK).text(folder)
+    return t.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def records(files: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """Memory records from their files: the record's columns, ``path``, the columns in ``more``, and ``errors`` naming the fields that fail.
 
     Filter on ``size(errors) = 0`` for the sound ones.
     """
     fields, body = front_matter("text")
-    t = files.select("path", fields.alias("f"), body.alias("body"))
+    t = files.select("path", *(more or []), fields.alias("f"), body.alias("body"))
     raw = lambda k: F.when(F.col("f")[k] != "null", unquoted(F.col("f")[k]))
     notes = F.regexp_extract("body", r"(?s)\n\n## Notes\n\n((?:- [^\n]*\n?)+)\s*\z", 1)
     t = t.select(
-        "path", "f", *[raw(k).alias("trigger_text" if k == "trigger" else k) for k in RECORD_FIELDS if k not in ("domain", "absorbs", "evidence", "provenance", "volatile", "confidence")],
+        "path", *(more or []), "f", *[raw(k).alias("trigger_text" if k == "trigger" else k) for k in RECORD_FIELDS if k not in ("domain", "absorbs", "evidence", "provenance", "volatile", "confidence")],
         F.from_json(F.col("f")["domain"], "array<string>").alias("domain"), F.from_json(F.col("f")["absorbs"], "array<string>").alias("absorbs"),
         F.from_json(F.col("f")["evidence"], _EVIDENCE).alias("evidence"), F.from_json(F.col("f")["provenance"], _PROVENANCE).alias("provenance"),
         F.expr("try_cast(f['volatile'] AS boolean)").alias("volatile"), F.expr("try_cast(f['confidence'] AS double)").alias("confidence"),
