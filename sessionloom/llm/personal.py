@@ -1,10 +1,10 @@
 """Personal information inside free text (problem 2).
 
 E-mail addresses, telephone numbers, identity numbers, postal addresses and people's names are found by their form
-and replaced by typed placeholders. Numbers are put through a keyed Feistel network over their own digits: the
-placeholder shows another number of the same format (separators kept, check digits and a birth date inside made
-valid again), the same for the same number wherever and however it is written. Other kinds get a keyed tag of the
-value in lower case with single blanks. Everything is decided inside one string, so rows spread freely.
+and replaced by typed placeholders. Numbers are put through a keyed Feistel network over their own digits and letters:
+the placeholder shows another number of the same format (separators kept, check digits, a birth date, sex and month
+inside valid again if they were), the same for the same number wherever and however it is written. Other kinds get a
+keyed tag of 96 bits of the value in lower case with single blanks. Everything is decided inside one string, so rows spread freely.
 """
 
 from __future__ import annotations
@@ -102,9 +102,11 @@ _ADDRESSES = [
     (("号",), re.compile(rf"(?:[{_HAN}]{{2,3}}省)?(?:(?<![{_HAN}])[^\W\d_A-Za-z寄到送至在住往址为是于]{{2,4}}|(?![寄到送至在住往址为是于])[{_HAN}][{_HAN}])市(?:[{_HAN}]{{1,4}}[区县])?[{_HAN}]{{1,6}}[路街道巷]{_S}\d+{_S}号(?:{_S}\d+{_S}[室栋单元楼号]+)*")),
 ]
 _NUMBERS = re.compile(r"[+(\d][\d() ./\s ‐‑-]{7,}\d")
-_AT_SIGNS = re.compile(r"[@＠]|[\[({]at[\])}]|\bat\b(?=[^\n.]{1,60}?\sdot\b)", re.I)
+#: Stretches of characters that an e-mail address in any of its spellings may have, and signs that one may be there.
+_MAIL_RUN = re.compile(r"[A-Za-z0-9._%+'’@＠\[\](){}\s-]+")
+_AT_SIGNS = re.compile(r"[@＠]|[\[({]at[\])}]|\bat\b.*?\sdot\b", re.I | re.S)
+_MAIL_TAIL = re.compile(r"(?::[A-Za-z0-9~/_.-]*)?.?", re.S)
 _ID_WORDS = ("ssn", "security", "nir", "secu", "sécu", "insee", "idnr", "steuer", "identifikation", "passport", "licen", "nino", "insurance", "ni n", "身份证")
-_WORDS = re.compile(r"[A-Za-z]{6,}")
 
 
 def learn_names(known: list[tuple[str, str]]) -> dict[str, tuple[list[str], list[str]]]:
@@ -115,7 +117,8 @@ def learn_names(known: list[tuple[str, str]]) -> dict[str, tuple[list[str], list
     """
     out = {}
     for kind in ("given", "surname"):
-        names = sorted({n.strip() for k, n in known if k == kind and n and len(n.strip()) >= 5})
+        whole = sorted({n.strip() for k, n in known if k == kind and n and n.strip()})
+        names = [n for n in whole if len(n) >= 5]  # shorter ones are not cut
         stems, ends = defaultdict(set), defaultdict(set)
         for n in names:
             for i in range(3, len(n) - 1):
@@ -132,18 +135,19 @@ def learn_names(known: list[tuple[str, str]]) -> dict[str, tuple[list[str], list
         kept = sorted((e for e, c in count.items() if c > 1), key=len, reverse=True)
         rest = {n: next((n[: -len(e)] for e in kept if n.endswith(e) and len(n) - len(e) > 2), n) for n in names if n not in cut}
         out[kind] = (sorted({n[:i] for n, places in cut.items() for i in places} | set(rest.values())), sorted(kept))
-        out[kind + "_whole"] = (names, [])
+        out[kind + "_whole"] = (whole, [])
     return out
 
 
 class Names:
-    """A name pattern behind a quick look at the single words."""
+    """A name pattern behind a quick look at the single words, of which one must be a surname or part of one."""
 
-    def __init__(self, pattern: re.Pattern, surname: re.Pattern):
+    def __init__(self, pattern: re.Pattern, surname: re.Pattern, least: int):
         self.pattern, self.surname, self.seen = pattern, surname, {}
+        self.words = re.compile(rf"[^\W\d_]{{{least},}}")
 
     def finditer(self, text: str):
-        for w in _WORDS.findall(text):
+        for w in self.words.findall(text):
             known = self.seen.get(w)
             if known is None:
                 if len(self.seen) > 1 << 18:
@@ -177,7 +181,11 @@ def name_pattern(known: list[tuple[str, str]]) -> Names | None:
     strict = rf"{word('surname')}(?:-{word('surname')})?{_END}"
     initial = rf"(?:[A-Z]\.{_S}){{1,2}}"
     whole = re.compile(rf"(?<![A-Za-z0-9_.@/'’+-])(?:{giv}{_W}(?:{initial})?{sur}|{initial}(?:{strict}|{shape('surname')}{_END})|{strict},{_W}{giv}(?:{_W}[A-Z]\.(?![A-Za-z]))?)(?![A-Za-z0-9_@/+]|-[A-Za-z]|\.[A-Za-z0-9])")
-    return Names(whole, re.compile(sur))
+    # Of a known surname with other characters than letters its longest run of letters is looked for.
+    runs = [max(re.findall(r"[^\W\d_]+", n) or [""], key=len) for n in g["surname_whole"][0]]
+    parts = "|".join(sorted({re.escape(r) for r, n in zip(runs, g["surname_whole"][0], strict=True) if r != n}))
+    made = [len(a) + len(b) for a in g["surname"][0] for b in g["surname"][1]]
+    return Names(whole, re.compile(f"{sur}|(?i:{parts})" if parts else sur), max(1, min([6, *made, *map(len, runs)])))
 
 
 def find(text: str, names: Names | None) -> list[tuple[int, int, str]]:
@@ -190,11 +198,10 @@ def find(text: str, names: Names | None) -> list[tuple[int, int, str]]:
 
     low = text.lower()
     if "@" in low or "＠" in low or "dot" in low or "at)" in low or "at]" in low or "at}" in low:
-        done = 0
-        for at in _AT_SIGNS.finditer(text):
-            for m in _EMAIL.finditer(text, max(done, at.start() - 120), at.end() + 160):
-                take(*m.span(), "email")
-                done = m.end()
+        for run in _MAIL_RUN.finditer(text):
+            if _AT_SIGNS.search(text, run.start(), run.end()):
+                for m in _EMAIL.finditer(text, run.start(), _MAIL_TAIL.match(text, run.end()).end()):
+                    take(*m.span(), "email")
     if any(w in low for w in _ID_WORDS):
         for m in _ID.finditer(text):
             take(*m.span(m.lastgroup), "id_number")
@@ -260,30 +267,71 @@ def _resident(s: str, key: bytes) -> str:
     return body + check(body) if check(s[:17]) == s[17].upper() else body + permute_digits(s[17], key, "last") if s[17].isdigit() else body + "X"
 
 
+def _permute_mixed(values: list[int], sizes: list[int], key: bytes, tag: str) -> list[int]:
+    """A keyed permutation of all tuples with 0 <= value < size."""
+    whole = 0
+    for v, n in zip(values, sizes, strict=True):
+        whole = whole * n + v
+    whole, out = feistel(whole, math.prod(sizes), key, tag), []
+    for n in reversed(sizes):
+        whole, v = divmod(whole, n)
+        out.append(v)
+    return out[::-1]
+
+
+def _permute_text(s: str, key: bytes, tag: str) -> str:
+    """Digits become digits and letters letters (the last of a British insurance number one of A to D)."""
+    sets = ["0123456789" if c.isdigit() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in s]
+    if re.fullmatch(r"[A-Z]{2}\d{6}[A-D]", s):
+        sets[-1] = "ABCD"
+    new = _permute_mixed([x.index(c) for x, c in zip(sets, s, strict=True)], [len(x) for x in sets], key, tag + re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", s)))
+    return "".join(x[i] for x, i in zip(sets, new, strict=True))
+
+
 def _nir(s: str, key: bytes) -> str:
+    """A French number: sex, year, month, place and order, check. A valid sex and month stay valid."""
     check = lambda b: f"{97 - int(b) % 97:02d}"
-    body = permute_digits(s[:13], key, "nir")
+    sexes = "12" if s[0] in "12" else "03456789"
+    months = range(1, 13) if 1 <= int(s[3:5]) <= 12 else [0, *range(13, 100)]
+    sex, year, month, rest = _permute_mixed([sexes.index(s[0]), int(s[1:3]), months.index(int(s[3:5])), int(s[5:13])], [len(sexes), 100, len(months), 10**8], key, f"nir{len(sexes)}{len(months)}")
+    body = f"{sexes[sex]}{year:02d}{months[month]:02d}{rest:08d}"
     return body + (check(body) if check(s[:13]) == s[13:] else permute_digits(s[13:], key, "nir"))
 
 
+def _tax_check(body: str) -> str:
+    """Check digit of ten digits by the public rule ISO 7064, MOD 11,10."""
+    product = 10
+    for d in body:
+        product = 2 * ((int(d) + product) % 10 or 10) % 11
+    return str((11 - product) % 10)
+
+
+def _tax(s: str, key: bytes) -> str:
+    body = permute_digits(s[:10], key, "tax")
+    return body + (_tax_check(body) if _tax_check(s[:10]) == s[10] else permute_digits(s[10], key, "tax last"))
+
+
 def pseudonym(value: str, kind: str, key: bytes) -> str:
     """What stands in a placeholder for a value: a number of the same format, or a keyed tag."""
     if kind in ("phone", "id_number"):
-        digits = re.sub(r"\D", "", value)
-        body = value.replace(" ", "")
-        if kind == "id_number" and re.fullmatch(r"\d{17}[\dXx]", body):
-            new = _resident(body, key)
-            return new
-        if kind == "id_number" and len(digits) == 15:
+        digits, body = re.sub(r"\D", "", value), re.sub(r"[^0-9A-Za-z]", "", value).upper()
+        if kind == "phone":
+            # A country code stays, so that +49 30 and 0049 30 stay the same number.
+            lead = 2 if re.match(r"\+(?!1\d{10}$|1\D)", value) else 1 if value.startswith("+1") else 4 if re.match(r"00(?!1)", value) else 3 if value.startswith("001") else 0
+            new, body = digits[:lead] + permute_digits(digits[lead:], key, kind), digits
+        elif re.fullmatch(r"\d{17}[\dX]", body):
+            return _resident(body, key)
+        elif len(body) == len(digits) == 15:
             new = _nir(digits, key)
+        elif len(body) == len(digits) == 11:
+            new = _tax(digits, key)
         else:
-            # A country code stays, so that +49 30 and 0049 30 stay the same number.
-            lead = 0 if kind != "phone" else 2 if re.match(r"\+(?!1\d{10}$|1\D)", value) else 1 if value.startswith("+1") else 4 if re.match(r"00(?!1)", value) else 3 if value.startswith("001") else 0
-            new = digits[:lead] + permute_digits(digits[lead:], key, kind)
+            new = _permute_text(body, key, kind)
         it = iter(new)
-        return "".join(next(it) if c.isdigit() else c for c in value)
+        there = str.isdigit if kind == "phone" else lambda c: c.isascii() and c.isalnum()
+        return "".join((x if c.isupper() or c.isdigit() else x.lower()) if there(c) and (x := next(it)) else c for c in value)
     tag = re.sub(r"[\s ]+", " ", value).casefold()
-    return hashlib.blake2b(tag.encode(), key=key, digest_size=5).hexdigest()
+    return hashlib.blake2b(tag.encode(), key=key, digest_size=12).hexdigest()
 
 
 def redact(text: str, names: Names | None, key: bytes) -> str:
@@ -378,15 +426,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select(F.lit("parts").alias("record_table"), "*").unionByName(lessons.select(F.lit("memories").alias("record_table"), "*"))
 
 
-#: The key of the registered query; give your own to ``redacted``.
-DEMO_KEY = b"sessionloom"
+#: Session setting with the secret key of pseudonyms; without it the registered query uses a key that everyone knows.
+KEY_SETTING, DEMO_KEY = "spark.sessionloom.pseudonym.key", "sessionloom"
 
 
 def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = _known(spark, sf_dir)
+    known, key = _known(spark, sf_dir), spark.conf.get(KEY_SETTING, DEMO_KEY).encode()
     parts = table(spark, sf_dir, "parts").select(F.lit("parts").alias("record_table"), F.col("id").alias("record_id"), F.col("data").alias("text"))
     lessons = table(spark, sf_dir, "memories").select(F.lit("memories").alias("record_table"), F.col("id").alias("record_id"), F.col("lesson").alias("text"))
-    return redacted(parts, "text", known, True, DEMO_KEY).unionByName(redacted(lessons, "text", known, False, DEMO_KEY))
+    return redacted(parts, "text", known, True, key).unionByName(redacted(lessons, "text", known, False, key))
 
 
 QUERIES = {"p2_found": p2_found, "p2_redacted": p2_redacted}

@@ -1,8 +1,9 @@
 import json
+import re
 
 import pytest
 
-from sessionloom.llm.personal import feistel, find, find_personal, learn_names, name_pattern, pseudonym, redact, redact_json, redacted
+from sessionloom.llm.personal import _tax_check, feistel, find, find_personal, learn_names, name_pattern, pseudonym, redact, redact_json, redacted
 
 KNOWN = [("given", n) for n in "Belkan Belkella Casvan Casviko Elovan Eloveth Griveth Griviko Norvella Zorvan Zorvisse Mirqane Mirqorra Haldius Ysevius Tavrane Haldane Tavrisse".split()]
 KNOWN += [("surname", n) for n in "Brenkalund Brenkettel Jaskettel Jaskohorne Voskaquith Voskasken Liskasken Liskoux Umbvaquith Umbvoux Morvoux Morvalund Zeldriwick Jaskiwick Fosdiwick Fosdohorne".split()]
@@ -78,6 +79,34 @@ def test_pseudonyms_keep_format_and_link_equal_values():
     assert pseudonym("A@b.cd", "email", b"k") == pseudonym("a@B.cd", "email", b"k") != pseudonym("a@b.cd", "email", b"q")
 
 
+def test_letters_of_numbers_are_permuted_too():
+    for value, form in (("ZZ9008788", r"[A-Z]{2}\d{7}"), ("QX-528-154-39", r"[A-Z]{2}-\d{3}-\d{3}-\d{2}"), ("QQ 20 59 13 C", r"[A-Z]{2} \d\d \d\d \d\d [A-D]")):
+        new = pseudonym(value, "id_number", b"k")
+        assert re.fullmatch(form, new) and all(sum(a == b for a, b in zip(x, y, strict=True)) < len(x) for x, y in [(re.sub(r"[^A-Z]", "", value), re.sub(r"[^A-Z]", "", new))])
+        assert pseudonym(value.replace(" ", "").replace("-", "").lower(), "id_number", b"k").upper() == re.sub(r"[ -]", "", new)
+    assert len({pseudonym(f"AB{n:07d}", "id_number", b"k") for n in range(2000)}) == 2000
+    assert len(pseudonym("a@b.example", "email", b"k")) == 24
+
+
+def test_checked_numbers_stay_valid():
+    for n in range(200):
+        body = f"{1 + n % 2}{n % 100:02d}{1 + n % 12:02d}{n * 7919 % 10**8:08d}"
+        new = pseudonym(f"{body}{97 - int(body) % 97:02d}", "id_number", b"k")
+        assert new[0] in "12" and 1 <= int(new[3:5]) <= 12 and int(new[13:]) == 97 - int(new[:13]) % 97
+    assert _tax_check("8609574271") == "9"  # a public example
+    new = pseudonym("86 095 742 719", "id_number", b"k").replace(" ", "")
+    assert _tax_check(new[:10]) == new[10] and new != "86095742719"
+
+
+def test_no_length_hides_a_value():
+    local = "a" * 300
+    assert values(f"to {local}@b.example and") == [("email", f"{local}@b.example")]
+    assert values("x" * 50 + ", " + "w" * 200 + "@" + "d" * 400 + ".example, y") == [("email", "w" * 200 + "@" + "d" * 400 + ".example")]
+    names = name_pattern([*KNOWN, ("given", "Bo"), ("surname", "Ek"), ("surname", "Øst-Ny")])
+    found = lambda t: [t[a:b] for a, b, k in find(t, names) if k == "person_name"]
+    assert found("ask Bo Ek now") == ["Bo Ek"] and found("ask Bo Øst-Ny now") == ["Bo Øst-Ny"]
+
+
 def test_redaction_changes_nothing_else():
     raw = '{"type":"text", "text": "\\u00e9crire \\u00e0 a.b@c.example \\"x\\"", "n": 1.0, "k\\/": "h\\u00e9"}'
     new = redact_json(raw, NAMES, b"k")
