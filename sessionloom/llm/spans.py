@@ -1,15 +1,22 @@
 """Long exact spans shared between records (problem 8).
 
 Recompression: a text starts as a sequence of tokens, and in each round runs of equal symbols and pairs of adjacent
-symbols become one symbol, which is named by a fingerprint of the characters that it stands for. Which pairs join is
-decided by the two names alone, so equal stretches of text get the same symbols inside, wherever they stand, and
-differ only near their ends. Naming by fingerprint gives every task the same names without an exchange of
-dictionaries; all spans are compared character by character in the end, except inside chains of equal windows.
-
-The symbols of the last round, each taken with the text that follows it up to ``WINDOW`` characters, are met by one
-shuffle of (fingerprint, document, place). Places of two documents with the same distance form chains; only a
-chain's ends are looked up in the texts and extended to the whole common span. Where more than ``BUCKET`` places
-share a symbol, no pairs of them are formed: each place gives the fingerprints of all stretches of the required
+symbols become one symbol with a name of its own. Which pairs join is decided by the two names alone, so equal stretches of
+text get the same symbols inside, wherever they stand, and differ only near their ends. There are two ways to agree on names:
+
+* ``named_in_rounds``: each round is a Spark job that gathers the distinct runs and pairs of all texts into one dictionary,
+  numbers them, and joins the numbers back. All symbols cross the network twice a round.
+* ``symbols``: a name is a fingerprint of the characters that a symbol stands for. Every task comes to the same
+  names without a dictionary, so all rounds run where the text lies and only what is met crosses the network.
+
+Both give equal stretches equal symbols (the tests compare their results). The registered queries use the second: the
+first does not fit the budget (figures in the README); its keys are names only, the second takes a symbol with the text that
+follows it up to ``WINDOW`` characters. All spans are compared character by character in the end, except inside chains
+of equal windows.
+
+Equal keys are met by one shuffle of (key, document, place). Places of two documents with the same distance form
+chains; only a chain's ends are looked up in the texts and extended to the whole common span. Where more than
+``BUCKET`` places share a key, no pairs of them are formed: each place gives the fingerprints of all stretches of the required
 length around it, and only places that share such a stretch, which is a result, are brought together.
 """
 
@@ -65,15 +72,7 @@ def symbols(codes: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, cap: in
     def fingerprint(a, b):
         return _mix((total[b] - total[a]) * inverse[a])
 
-    word = ((codes >= 48) & (codes <= 57)) | ((codes | 32) >= 97) & ((codes | 32) <= 122) | ((codes >= 0xC0) & (codes < 0x250))
-    first = np.ones(n, bool)
-    first[1:] = ~(word[1:] & word[:-1])
-    first[starts] = True
-    at = np.flatnonzero(first)
-    length = np.diff(at, append=n)
-    if (length > cap // 2).any():  # a very long token is taken as its characters
-        first[np.flatnonzero(np.repeat(length > cap // 2, length))] = True
-        at = np.flatnonzero(first)
+    at = _token_starts(codes, starts, cap)
     begins = np.zeros(n + 1, bool)
     begins[starts] = True
     for r in range(rounds):
@@ -118,16 +117,69 @@ def _windows(width: int, least: int):
                     fits = at + width <= stop[doc]
                     at, doc = at[fits], doc[fits]
                     key = fingerprint(at, at + width).view(np.int64)
-                    # Of the equal windows inside one run the first and the last are enough.
-                    same = (key[1:] == key[:-1]) & (doc[1:] == doc[:-1])
-                    keep = ~(np.concatenate([[False], same]) & np.concatenate([same, [False]]))
-                    at, doc, key = at[keep], doc[keep], key[keep]
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[todo][doc]), pa.array((at - (stop - sizes)[doc]).astype(np.int32))], ["key", "doc", "pos"])
                     todo, held = [], 0
 
     return run
 
 
+def _token_starts(codes: np.ndarray, starts: np.ndarray, cap: int) -> np.ndarray:
+    """First characters of the tokens of texts laid end to end: runs of letters and digits, and single other characters."""
+    n = len(codes)
+    word = ((codes >= 48) & (codes <= 57)) | ((codes | 32) >= 97) & ((codes | 32) <= 122) | ((codes >= 0xC0) & (codes < 0x250))
+    first = np.ones(n, bool)
+    first[1:] = ~(word[1:] & word[:-1])
+    first[starts] = True
+    length = np.diff(np.flatnonzero(first), append=n)
+    if (length > cap // 2).any():  # a very long token is taken as its characters
+        first[np.flatnonzero(np.repeat(length > cap // 2, length))] = True
+    return np.flatnonzero(first)
+
+
+def _tokens(cap: int):
+    def run(batches):
+        for batch in batches:
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = _token_starts(np.frombuffer(text.encode("utf-32-le"), np.uint32), np.array([0]), cap)
+                end = np.append(at[1:], len(text))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc)), pa.array(at.astype(np.int32)), pa.array((end - at).astype(np.int32)), pa.array([text[a:b] for a, b in zip(at, end, strict=True)])], ["doc", "pos", "size", "token"])
+
+    return run
+
+
+def named_in_rounds(d: DataFrame, scratch: Scratch, rounds: int = ROUNDS, cap: int = CAP) -> DataFrame:
+    """(doc, pos, size, name): the symbols of the last round of texts (doc_id, text), named by dictionaries of all texts."""
+    token = scratch.keep(d.mapInArrow(_tokens(cap), "doc long, pos int, size int, token string"), "tokens")
+    names = scratch.keep(token.select("token").distinct().withColumn("name", F.monotonically_increasing_id()), "names")
+    row = scratch.keep(token.join(names, "token").select("doc", "pos", "size", "name"), "level0")
+    line = Window.partitionBy("doc").orderBy("pos")
+    for r in range(rounds):
+        coin = lambda c, r=r: F.xxhash64(F.col(c), F.lit(r)) % 2 == 0
+        t = row.withColumn("head", F.coalesce(F.lag("name").over(line) != F.col("name"), F.lit(True)))
+        t = t.withColumn("run", F.sum(F.col("head").cast("int")).over(line))
+        own = Window.partitionBy("doc", "run")
+        t = t.withColumns({"n": F.count("*").over(own), "span": F.sum("size").over(own).cast("int")})
+        t = t.withColumns({"alone": F.col("n") == 1, "next": F.lead("name").over(line), "next_size": F.lead("size").over(line)}).withColumn("next_alone", F.lead("alone").over(line))
+        left = F.col("alone") & F.coalesce("next_alone", F.lit(False)) & coin("name") & ~coin("next") & (F.col("size") + F.col("next_size") <= cap)
+        t = t.withColumn("left", F.coalesce(left, F.lit(False))).withColumn("right", F.coalesce(F.lag("left").over(line), F.lit(False)))
+        merged = ~F.col("alone") & (F.col("span") <= cap)
+        t = t.where(~F.col("right") & (~merged | F.col("head")))
+        size = F.when(F.col("left"), F.col("size") + F.col("next_size")).when(merged, F.col("span")).otherwise(F.col("size"))
+        t = scratch.keep(t.select("doc", "pos", size.alias("size"), "name", F.when(F.col("left"), F.col("next")).when(merged, -F.col("n")).alias("other")), f"joined{r}")
+        names = t.where("other IS NOT NULL").select("name", "other").distinct()
+        names = scratch.keep(names.withColumn("new", F.monotonically_increasing_id() + F.lit((r + 1) << 54)), f"names{r}")
+        row = scratch.keep(t.join(names, ["name", "other"], "left").select("doc", "pos", "size", F.coalesce("new", "name").alias("name")), f"level{r + 1}")
+    return row
+
+
+def _named_keys(row: DataFrame, width: int) -> DataFrame:
+    """(key, doc, pos): each symbol with those that follow it as far as they end within ``width`` characters, by their names."""
+    near = Window.partitionBy("doc").orderBy("pos").rangeBetween(0, width - 1)
+    t = row.withColumn("near", F.collect_list(F.struct("pos", "size", "name")).over(near))
+    inside = F.filter("near", lambda x: x["pos"] + x["size"] <= F.col("pos") + width)
+    return t.select(F.xxhash64(F.transform(inside, lambda x: x["name"])).alias("key"), "doc", "pos")
+
+
 def _meet(most: int):
     """Sorted rows (key, doc, pos) to pairs of places (doc_a < doc_b), or to hot rows where a key has many places."""
 
@@ -214,22 +266,25 @@ def _ends(lo: Column, hi: Column) -> list[Column]:
     return [F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), lo.alias("start_a"), (lo + F.col("shift")).alias("start_b"), (hi - lo).alias("length")]
 
 
-def shared_spans(docs: DataFrame, least: int = LEAST, window: int = WINDOW, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+def shared_spans(docs: DataFrame, least: int = LEAST, window: int = WINDOW, bucket: int = BUCKET, in_rounds: bool = False) -> tuple[DataFrame, DataFrame]:
     """(spans, hot) of docs (doc_id, text).
 
     spans: (doc_a < doc_b, start_a, start_b, length): common spans of at least ``least`` characters, in pairs of places that
     few others share. hot: (key, doc_id, start): stretches of exactly ``least`` characters that stand at many
     places; rows of one key are equal. Together they reveal every pair with a common stretch of that length, up to the chance that
     no symbol begins equally in its first ``least - window`` characters (measured in the tests). Null and short
-    texts share nothing; ids must be unique; an empty table gives no rows.
+    texts share nothing; ids must be unique; an empty table gives no rows. ``in_rounds``: names by dictionaries.
     """
     scratch = Scratch(docs.sparkSession, "spans")
     d = docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= least)).select("doc_id", "text")
-    keyed = d.mapInArrow(_windows(window, least), "key long, doc long, pos int")
+    if in_rounds:
+        keyed = _named_keys(named_in_rounds(d, scratch.part("names")), window)
+    else:
+        keyed = d.mapInArrow(_windows(window, least), "key long, doc long, pos int")
     met = keyed.repartition("key").sortWithinPartitions("key", "doc", "pos").mapInArrow(_meet(bucket), "a long, pa int, b long, pb int, hot boolean")
     met = scratch.keep(met, "met")
     shift = met.where(~F.col("hot")).select("a", "b", "pa", (F.col("pb") - F.col("pa")).alias("shift")).distinct()
-    chains = scratch.keep(_chains(shift, window), "chains")
+    chains = scratch.keep(_chains(shift, 1 if in_rounds else window), "chains")  # names stand for stretches of any length
     grown = _grown(d, chains, chains.count(), 2 * least)  # as far as another window would have been met
     spans = scratch.keep(grown.select(*_ends(F.col("lo") - F.col("l"), F.col("hi") + F.col("r"))).where(F.col("length") >= least).distinct(), "spans")
 
@@ -284,11 +339,7 @@ def whole_spans(docs: DataFrame, least: int = LEAST, window: int = WINDOW, bucke
 
 
 def covered(spans: DataFrame, hot: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, shared_chars): characters of each document that stand in another one too, in stretches of ``least``.
-
-    Of one short pattern repeated without a break, longer than it is anywhere else, the two ends count, each as far
-    as it is repeated elsewhere.
-    """
+    """(doc_id, shared_chars): characters of each document that stand in another one too, in stretches of ``least``."""
     a = spans.select(F.col("doc_a").alias("doc_id"), F.col("start_a").cast("long").alias("s"), (F.col("start_a") + F.col("length")).alias("e"))
     b = spans.select(F.col("doc_b").alias("doc_id"), F.col("start_b").cast("long").alias("s"), (F.col("start_b") + F.col("length")).alias("e"))
     h = hot.select("doc_id", F.col("start").cast("long").alias("s"), (F.col("start") + least).alias("e"))
