@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame, Window
@@ -23,7 +24,7 @@ def similar_classes(records: DataFrame, threshold: float, scratch: Scratch | Non
     held by a third of all rows is one row from here on. membership: (id, block, class_id), class_id being the least
     id of the class. links: (block, a, b, similarity), a < b, between classes alike to at least the threshold. Two
     sets alike to t share one of the first n - ceil(t * n) + 1 of their n tokens in any common order; with the rarest
-    first, frequent tokens meet nothing. Size and position bounds drop most of what still meets. Null texts are
+    first, frequent tokens meet nothing; postings are joined by bands of sizes, and position bounds drop most of what still meets. Null texts are
     empty; rows without id or block are left out, repeated ids in a block count once; empty input gives no rows.
     """
     scratch = scratch or Scratch(records.sparkSession, "prefix-join")
@@ -40,11 +41,15 @@ def similar_classes(records: DataFrame, threshold: float, scratch: Scratch | Non
     placed = placed.withColumn("size", size).withColumn("head", size - F.ceil(size * F.lit(threshold) - 1e-9).cast("int") + 1)
     post = placed.select("block", "class_id", "size", F.posexplode(F.slice("o", F.lit(1), F.col("head"))).alias("pos", "t")).select("block", "class_id", "size", "pos", F.col("t.token").alias("token"))
     post = scratch.keep(post, "postings")
-    a, b = (post.select("block", "token", *[F.col(c).alias(f"{c}_{s}") for c in ("class_id", "size", "pos")]) for s in "ab")
+    # The smaller of two alike sets has at least t times the words of the other, so with bands of sizes in that ratio the
+    # other is in the same band or the next: a frequent word's postings meet only where the sizes agree.
+    band = F.floor(F.log(F.col("size")) / math.log(1 / threshold) + 1e-9) if threshold < 1 else F.col("size")
+    a = post.select("block", "token", *[F.col(c).alias(f"{c}_a") for c in ("class_id", "size", "pos")], F.explode(F.array(band, band + 1)).alias("band"))
+    b = post.select("block", "token", *[F.col(c).alias(f"{c}_b") for c in ("class_id", "size", "pos")], band.alias("band"))
     need = F.ceil((F.col("size_a") + F.col("size_b")) * F.lit(threshold / (1 + threshold)) - 1e-9)
-    met = a.join(b, ["block", "token"]).where((F.col("class_id_a") < F.col("class_id_b")) & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * (threshold - 1e-9)))
-    met = met.where(F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) >= need - F.least("pos_a", "pos_b"))
-    pairs = met.select("block", F.col("class_id_a").alias("a"), F.col("class_id_b").alias("b")).distinct()
+    met = a.join(b, ["block", "token", "band"]).where((F.col("size_a") < F.col("size_b")) | (F.col("size_a") == F.col("size_b")) & (F.col("class_id_a") < F.col("class_id_b")))
+    met = met.where((F.col("size_a") >= F.col("size_b") * (threshold - 1e-9)) & (F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) >= need - F.least("pos_a", "pos_b")))
+    pairs = met.select("block", F.least("class_id_a", "class_id_b").alias("a"), F.greatest("class_id_a", "class_id_b").alias("b")).distinct()
     sets = classes.select("block", F.col("class_id"), "set")
     full = pairs.join(sets.select("block", F.col("class_id").alias("a"), F.col("set").alias("sa")), ["block", "a"]).join(sets.select("block", F.col("class_id").alias("b"), F.col("set").alias("sb")), ["block", "b"])
     shared = F.size(F.array_intersect("sa", "sb"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -88,39 +89,76 @@ def validated(candidates: DataFrame, known: DataFrame) -> DataFrame:
     return t.select(*candidates.columns, reasons.alias("reasons"), secret_labels(text).alias("secrets"))
 
 
+class _Pool:
+    """Members of an open pool in order, found by trigger, by words that alike titles must share, or by a title without words."""
+
+    def __init__(self):
+        self.members: list[dict] = []
+        self.index: dict[tuple[str, str], set[int]] = {}
+
+    @staticmethod
+    def keys(m: dict) -> list[tuple[str, str]]:
+        words = sorted(m["tokens"])
+        head = words[: len(words) - math.ceil(0.6 * len(words) - 1e-9) + 1]  # titles alike to 0.6 share one of these
+        return [("trigger", m["trigger_text"]), *(("word", w) for w in head), *([] if words else [("raw", m["raw"])])]
+
+    def first_like(self, new: dict) -> dict | None:
+        met = set().union(*[self.index.get(k, ()) for k in self.keys(new)])
+        for i in sorted(met):
+            m = self.members[i]
+            both = len(new["tokens"] | m["tokens"])
+            alike = len(new["tokens"] & m["tokens"]) >= 0.6 * both if both else new["raw"] == m["raw"]
+            if new["trigger_text"] == m["trigger_text"] or alike:
+                return m
+        return None
+
+    def add(self, m: dict) -> None:
+        m["at"] = len(self.members)
+        self.members.append(m)
+        self._place(m)
+
+    def _place(self, m: dict) -> None:
+        for k in self.keys(m):
+            self.index.setdefault(k, set()).add(m["at"])
+
+    def replace(self, m: dict, new: dict) -> None:
+        """Gives a member the texts of another candidate."""
+        for k in self.keys(m):
+            self.index[k].discard(m["at"])
+        m.update({k: new[k] for k in ("id", "title", "trigger_text", "lesson", "size", "tokens", "raw")})
+        self._place(m)
+
+
 def _fold(frames):
     """Sorted rows of one pool after another; holds the pool that is open."""
-    pool, open_ = [], None
+    pool, open_ = _Pool(), None
 
     def close():
-        return pd.DataFrame([(m["pool"], m["id"], m["title"], m["trigger_text"], m["lesson"], m["salience"], m["volatile"], ",".join(m["domain"]), ",".join(m["cited"]), m["merged"]) for m in pool], columns=["pool", "id", "title", "trigger_text", "lesson", "salience", "volatile", "domain", "cited", "merged"])
+        return pd.DataFrame([(m["pool"], m["id"], m["title"], m["trigger_text"], m["lesson"], m["salience"], m["volatile"], ",".join(m["domain"]), ",".join(m["cited"]), ",".join(sorted(m["secrets"])), m["merged"]) for m in pool.members], columns=["pool", "id", "title", "trigger_text", "lesson", "salience", "volatile", "domain", "cited", "secrets", "merged"])
 
     for f in frames:
         for r in f.to_dict("records"):
             if r["pool"] != open_:
-                if pool:
+                if pool.members:
                     yield close()
-                pool, open_ = [], r["pool"]
-            tokens = frozenset(r["tokens"])
-            new = {k: r[k] for k in ("pool", "id", "title", "trigger_text", "lesson", "size", "volatile")} | {
-                "tokens": tokens, "raw": r["title_trimmed"], "salience": r["salience"], "merged": 0,
+                pool, open_ = _Pool(), r["pool"]
+            new = {k: r[k] for k in ("pool", "id", "title", "trigger_text", "lesson", "size", "volatile", "salience")} | {
+                "tokens": frozenset(r["tokens"]), "raw": r["title_trimmed"], "merged": 0, "secrets": set(r["secrets"]),
                 "domain": list(dict.fromkeys(r["domain"])), "cited": list(dict.fromkeys(r["cited"])),
             }
-            for m in pool:
-                both = len(tokens | m["tokens"])
-                alike = len(tokens & m["tokens"]) >= 0.6 * both if both else new["raw"] == m["raw"]
-                if new["trigger_text"] == m["trigger_text"] or alike:
-                    if new["size"] > m["size"]:
-                        m.update({k: new[k] for k in ("id", "title", "trigger_text", "lesson", "size", "tokens", "raw")})
-                    m["domain"] = list(dict.fromkeys(m["domain"] + new["domain"]))
-                    m["cited"] = list(dict.fromkeys(m["cited"] + new["cited"]))
-                    m["salience"] = max(m["salience"], new["salience"])
-                    m["volatile"] = m["volatile"] or new["volatile"]
-                    m["merged"] += 1
-                    break
-            else:
-                pool.append(new)
-    if pool:
+            m = pool.first_like(new)
+            if m is None:
+                pool.add(new)
+                continue
+            if new["size"] > m["size"]:
+                pool.replace(m, new)
+            m["domain"] = list(dict.fromkeys(m["domain"] + new["domain"]))
+            m["cited"] = list(dict.fromkeys(m["cited"] + new["cited"]))
+            m["secrets"] |= new["secrets"]
+            m["salience"] = max(m["salience"], new["salience"])
+            m["volatile"] = m["volatile"] or new["volatile"]
+            m["merged"] += 1
+    if pool.members:
         yield close()
 
 
@@ -131,7 +169,7 @@ def deduplicated(candidates: DataFrame) -> DataFrame:
     (0.6 or more), and is compared with what members have become. A member's title and trigger always are those of
     one of its candidates, so a merge follows a link between two original candidates: each connected part of those
     links is a pool of its own with the same result. A part streams through a task in order; only its open members
-    are held. Null texts are empty, null salience is 0, null flags are false; rows without id are left out.
+    are held. ``secrets`` has the labels of all secrets in a member's candidates. Null texts are empty, null salience is 0, null flags are false; rows without id are left out.
     """
     scratch = Scratch(candidates.sparkSession, "pools")
     blank = lambda x: F.coalesce(F.col(x), F.lit(""))
@@ -150,8 +188,9 @@ def deduplicated(candidates: DataFrame) -> DataFrame:
     roots = components(edges, scratch)
     pooled = c.join(roots, F.col("n") == F.col("node"), "left").withColumn("pool", F.coalesce("root", "n"))
     tokens = F.array_distinct(F.filter(F.split(F.lower("title"), r"[^\p{L}\p{N}_]+"), lambda t: t != ""))
-    ready = pooled.select("pool", "pos", "id", "title", js_trim("title").alias("title_trimmed"), "trigger_text", "lesson", js_length("lesson").alias("size"), "salience", "volatile", "domain", "cited", tokens.alias("tokens"))
-    out = ready.repartition("pool").sortWithinPartitions("pool", "pos", "id").mapInPandas(_fold, "pool long, id string, title string, trigger_text string, lesson string, salience double, volatile boolean, domain string, cited string, merged long")
+    secrets = secret_labels(F.concat_ws(" ", "title", "trigger_text", "lesson")).alias("secrets")
+    ready = pooled.select("pool", "pos", secrets, "id", "title", js_trim("title").alias("title_trimmed"), "trigger_text", "lesson", js_length("lesson").alias("size"), "salience", "volatile", "domain", "cited", tokens.alias("tokens"))
+    out = ready.repartition("pool").sortWithinPartitions("pool", "pos", "id").mapInPandas(_fold, "pool long, id string, title string, trigger_text string, lesson string, salience double, volatile boolean, domain string, cited string, secrets string, merged long")
     return out.drop("pool").join(c.select("id", F.substring_index("block", "\x1f", 1).alias("session_id"), F.substring_index("block", "\x1f", -1).alias("type")).distinct(), "id")
 
 

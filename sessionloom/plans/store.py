@@ -70,6 +70,11 @@ def transcript_triage(spark, sf_dir):
     return running_totals(t, ["all"], ["time_updated", "session_id"], {"seq": "1"}).select("session_id", "units", "verdict", "seq")
 
 
+def transcript_turns(spark, sf_dir):
+    """The rendered turns as rows, which is the form for sessions of any length."""
+    return transcripts.turns(table(spark, sf_dir, "messages"), table(spark, sf_dir, "parts"))
+
+
 def search_domain(spark, sf_dir):
     """The whole search with a domain filter, which follows the fetch and so may leave fewer rows than the limit."""
     t = search.search(memories(spark, sf_dir, core._SEARCHED), core.QUERY, NOW, domain="storage", include_tentative=True, limit=40)
@@ -198,7 +203,7 @@ def project_transcripts(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    root_sessions, session_bundles, export_outcomes, backfill_counts, export_markdown, transcript_triage, search_domain, memory_stats, unique_record_ids, catalog_sections, cluster_tags,
+    root_sessions, session_bundles, export_outcomes, backfill_counts, export_markdown, transcript_triage, transcript_turns, search_domain, memory_stats, unique_record_ids, catalog_sections, cluster_tags,
     removed_superseded, record_files, ledger_file, candidate_outcomes, case_scores, case_pass_rates, retrieval_check, derived_classes, fence_free, project_transcripts,
 )}
 
@@ -241,6 +246,7 @@ f AS (SELECT s.id AS session_id, concat_ws(chr(10), '---', 'session_id: ' || s.i
  'tokens: {{ input: ' || coalesce(tokens_input, 0) || ', output: ' || coalesce(tokens_output, 0) || ' }}', 'content_hash: ' || r.content_hash, 'exported_at: {NOW}', '---', '') || r.body AS md
  FROM ses s JOIN r ON r.session_id = s.id JOIN mo ON mo.id = s.id)
 SELECT session_id, CAST(length(md) + len(regexp_extract_all(md, '[\\x{{10000}}-\\x{{10ffff}}]')) AS INT) AS units, sha256(md) AS digest FROM f""".replace("{{ input", "{ input").replace("' }}'", "' }'"),
+    "transcript_turns": f"""WITH {core._TURNS} SELECT session_id, turn, id AS message_id, u AS "user", '## T' || turn || ' [' || strftime(make_timestamp(time_created * 1000), '%H:%M') || '] ' || CASE WHEN u THEN 'User' ELSE 'Assistant' END || ' {{#' || id || '}}' || E'\\n\\n' || text || E'\\n' AS block FROM n""",
     "transcript_triage": f"""WITH {_SES}, r AS ({_NOW_RENDERED}), u AS (SELECT session_id, time_updated, CAST(length(body) + len(regexp_extract_all(body, '[\\x{{10000}}-\\x{{10ffff}}]')) AS INT) AS units FROM r JOIN ses ON ses.id = r.session_id)
 SELECT session_id, units, CASE WHEN units < 80 THEN 'out' WHEN units < 400 THEN 'out without a model' ELSE 'kept' END AS verdict, row_number() OVER (ORDER BY time_updated, session_id) - 1 AS seq FROM u""",
     "search_domain": "WITH " + core._BM25.replace("AND confidence >= 0.5 ", "AND confidence >= 0 ") + f""", top AS (SELECT * FROM sc ORDER BY score, id LIMIT 40),
