@@ -117,12 +117,16 @@ class Linker:
     def _write(self, df: DataFrame, name: str) -> None:
         by, schema = _KEPT[name]
         t = df.select(*[c.split()[0] for c in schema.split(", ")]).withColumn("bucket", self._bucket(name))
-        t.repartition("bucket").sortWithinPartitions("bucket", by).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/{name}")
+        # Keys and sketches are all different, so a dictionary of them only costs time.
+        t.repartition("bucket").sortWithinPartitions("bucket", by).write.mode("append").option("parquet.enable.dictionary", name != "keys").partitionBy("bucket").parquet(f"{self.path}/{name}")
 
-    def kept(self, name: str, wanted: DataFrame | None = None) -> DataFrame:
-        """A kept table; with ``wanted`` (rows with its key column) only the folders in which those can lie."""
+    def kept(self, name: str, wanted: DataFrame | None = None, rows: int = 0) -> DataFrame:
+        """A kept table; with ``wanted`` (rows with its key column) only the folders in which those can lie.
+
+        So many more ``rows`` than folders fall into every folder, and are not looked at.
+        """
         t = self.spark.read.schema(_KEPT[name][1] + ", bucket int").parquet(f"{self.path}/{name}")
-        if wanted is not None and self.folders[name] > 1:
+        if wanted is not None and 1 < self.folders[name] and rows < 30 * self.folders[name]:
             numbers = [r.bucket for r in wanted.select(self._bucket(name).alias("bucket")).distinct().collect()]  # folder numbers
             if len(numbers) < self.folders[name]:
                 t = t.where(F.col("bucket").isin(numbers))
@@ -154,10 +158,13 @@ class Linker:
         b = scratch.keep(_prepared(batch).withColumn("pos", F.struct("pos", "id")), "batch")
         sets = b.where(F.size("words") > 0).groupBy("cid").agg(F.min("pos").alias("pos"), F.first("title").alias("title"), F.first("words").alias("words"))
         sets = scratch.keep(sets, "classes")
-        keyed = scratch.keep(tensored(sets.select(F.col("cid").alias("id"), "words"), BANDS, ROWS), "keys")
-        old = self.kept("keys", keyed)
-        if keyed.count() <= BROADCAST_ROWS:  # counted: so many keys of 8 bytes
-            old = old.join(F.broadcast(keyed.select("key").distinct()), "key", "left_semi")
+        keyed = tensored(sets.select(F.col("cid").alias("id"), "words"), BANDS, ROWS)
+        rows = sets.count() * BANDS
+        if rows <= BROADCAST_ROWS:  # counted: so many keys of 8 bytes
+            keyed = scratch.keep(keyed, "keys")
+            old = self.kept("keys", keyed, rows).join(F.broadcast(keyed.select("key").distinct()), "key", "left_semi")
+        else:
+            old = self.kept("keys", keyed, rows)
         met, large = meeting(keyed.withColumn("old", F.lit(False)).unionByName(old.withColumn("old", F.lit(True))), scratch, BANDS)
         met = scratch.keep(met, "met")
         # Word sets are read of what was met, and of equal sets.

@@ -116,8 +116,8 @@ def test_a_small_batch_reads_as_much_from_a_long_history_as_from_a_short_one(spa
         seen = {}
         kept = linker.kept
 
-        def counted(name, wanted=None, kept=kept, seen=seen):
-            t = kept(name, wanted)
+        def counted(name, wanted=None, rows=0, kept=kept, seen=seen):
+            t = kept(name, wanted, rows)
             seen[name] = seen.get(name, 0) + t.count()
             return t
 
