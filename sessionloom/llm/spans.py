@@ -10,12 +10,12 @@ text get the same symbols inside, wherever they stand, and differ only near thei
   names without a dictionary, so all rounds run where the text lies and only what is met crosses the network.
 
 Both give equal stretches equal symbols (the tests compare their results). The registered queries use the second: the
-first does not fit the budget (figures in the README); its keys are names only, the second takes a symbol with the text that
-follows it up to ``WINDOW`` characters. All spans are compared character by character in the end, except inside chains
-of equal windows.
+first does not fit the budget (figures in the README).
 
-Equal keys are met by one shuffle of (key, document, place). Places of two documents with the same distance form
-chains; only a chain's ends are looked up in the texts and extended to the whole common span. Where more than
+The key of a place is the run of symbols that begins there, as far as they end within ``WINDOW`` characters; a stretch of the
+required length that two texts share has such a run inside. Equal keys are met by one shuffle of (key, document,
+place). Places of two documents with the same distance form chains where their runs touch; all spans are compared character by character in the
+end, except inside the runs of a chain; only a chain's ends are looked up in the texts and extended to the whole common span. Where more than
 ``BUCKET`` places share a key, no pairs of them are formed: each place gives the fingerprints of all stretches of the required
 length around it, and only places that share such a stretch, which is a result, are brought together.
 """
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from sessionloom.runtime import Scratch, small, table
 
 LEAST = 200
-WINDOW = 100
+#: A key has the symbols that end within so many characters, and more than ``WINDOW - CAP`` of them.
+WINDOW = 80
 #: No symbol stands for more characters than this.
 CAP = 40
 ROUNDS = 10
@@ -99,7 +100,19 @@ def symbols(codes: np.ndarray, starts: np.ndarray, rounds: int = ROUNDS, cap: in
     return at, fingerprint
 
 
-def _windows(width: int, least: int):
+def runs(at: np.ndarray, stop: np.ndarray, width: int, cap: int = CAP) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the first symbol, end) of the runs of whole symbols within ``width`` characters, without short ones.
+
+    ``at``: first characters of symbols; ``stop``: the end of the text that each is in.
+    """
+    end = np.minimum(np.append(at[1:], stop[-1:]), stop)
+    last = np.searchsorted(end, np.minimum(at + width, stop), "right") - 1
+    reach = end[np.maximum(last, 0)]
+    keep = np.flatnonzero(reach - at >= width - cap)
+    return keep, reach[keep]
+
+
+def _keys(width: int, least: int):
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
@@ -114,10 +127,10 @@ def _windows(width: int, least: int):
                     stop = np.cumsum(sizes)
                     at, fingerprint = symbols(codes, stop - sizes)
                     doc = np.searchsorted(stop, at, "right")
-                    fits = at + width <= stop[doc]
-                    at, doc = at[fits], doc[fits]
-                    key = fingerprint(at, at + width).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[todo][doc]), pa.array((at - (stop - sizes)[doc]).astype(np.int32))], ["key", "doc", "pos"])
+                    keep, end = runs(at, stop[doc], width)
+                    at, doc = at[keep], doc[keep]
+                    key = fingerprint(at, end).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[todo][doc]), pa.array((at - (stop - sizes)[doc]).astype(np.int32)), pa.array((end - at).astype(np.int32))], ["key", "doc", "pos", "size"])
                     todo, held = [], 0
 
     return run
@@ -172,52 +185,53 @@ def named_in_rounds(d: DataFrame, scratch: Scratch, rounds: int = ROUNDS, cap: i
     return row
 
 
-def _named_keys(row: DataFrame, width: int) -> DataFrame:
-    """(key, doc, pos): each symbol with those that follow it as far as they end within ``width`` characters, by their names."""
+def _named_keys(row: DataFrame, width: int, cap: int = CAP) -> DataFrame:
+    """(key, doc, pos, size): the same runs by the names of their symbols."""
     near = Window.partitionBy("doc").orderBy("pos").rangeBetween(0, width - 1)
     t = row.withColumn("near", F.collect_list(F.struct("pos", "size", "name")).over(near))
     inside = F.filter("near", lambda x: x["pos"] + x["size"] <= F.col("pos") + width)
-    return t.select(F.xxhash64(F.transform(inside, lambda x: x["name"])).alias("key"), "doc", "pos")
+    size = (F.array_max(F.transform(inside, lambda x: x["pos"] + x["size"])) - F.col("pos")).cast("int")
+    return t.select(F.xxhash64(F.transform(inside, lambda x: x["name"])).alias("key"), "doc", "pos", size.alias("size")).where(F.col("size") >= width - cap)
+
+
+_MET = ["a", "pa", "b", "pb", "size", "hot"]
 
 
 def _meet(most: int):
-    """Sorted rows (key, doc, pos) to pairs of places (doc_a < doc_b), or to hot rows where a key has many places."""
+    """Sorted rows (key, doc, pos, size) to pairs of places (doc_a < doc_b), or to hot rows (a, pa, size) where a key has many places."""
+
+    def pairs(doc: np.ndarray, pos: np.ndarray, size: np.ndarray):
+        i, j = np.triu_indices(len(doc), 1)
+        ok = doc[i] != doc[j]
+        i, j = i[ok], j[ok]
+        return doc[i], pos[i], doc[j], pos[j], size[i], np.zeros(len(i), bool)
 
     def run(batches):
         held, hot, last = None, False, None
         for batch in batches:
-            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             key = rows[0]
             if not len(key):
                 continue
             cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
             out = []
-
-            def close(h, out=out):
-                if h is not None and len(h[0]) > 1:
-                    i, j = np.triu_indices(len(h[0]), 1)
-                    ok = h[0][i] != h[0][j]
-                    out.append((h[0][i][ok], h[1][i][ok], h[0][j][ok], h[1][j][ok], np.zeros(ok.sum(), bool)))
-
             for s in np.flatnonzero((np.diff(cut) > 1) | (cut[:-1] == 0) | (cut[1:] == len(key))):
-                k, d, p = key[cut[s]], rows[1][cut[s] : cut[s + 1]], rows[2][cut[s] : cut[s + 1]]
+                k, own = key[cut[s]], [x[cut[s] : cut[s + 1]] for x in rows[1:]]
                 if last is None or k != last:
-                    close(held)
+                    if held is not None and len(held[0]) > 1:
+                        out.append(pairs(*held))
                     held, hot, last = None, False, k
                 if not hot and held is not None:
-                    d, p = np.concatenate([held[0], d]), np.concatenate([held[1], p])
-                if hot or len(d) > most:
-                    hot, held = True, None
-                    out.append((d, p, np.full(len(d), -1, np.int64), np.full(len(d), -1, np.int32), np.ones(len(d), bool)))
+                    own = [np.concatenate(x) for x in zip(held, own, strict=True)]
+                if hot or len(own[0]) > most:
+                    hot, held, n = True, None, len(own[0])
+                    out.append((own[0], own[1], np.full(n, -1, np.int64), np.full(n, -1, np.int32), own[2], np.ones(n, bool)))
                 else:
-                    held = (d, p)
+                    held = own
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "pa", "b", "pb", "hot"])
-        out = []
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], _MET)
         if held is not None and len(held[0]) > 1:
-            i, j = np.triu_indices(len(held[0]), 1)
-            ok = held[0][i] != held[0][j]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (held[0][i][ok], held[1][i][ok], held[0][j][ok], held[1][j][ok], np.zeros(ok.sum(), bool))], ["a", "pa", "b", "pb", "hot"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in pairs(*held)], _MET)
 
     return run
 
@@ -244,11 +258,12 @@ def _common(backward: bool):
     return run
 
 
-def _chains(shift: DataFrame, width: int) -> DataFrame:
-    """Equal stretches of ``width`` characters (a, b, pa, shift) to (n, a, b, shift, lo, hi) where they touch."""
-    line = Window.partitionBy("a", "b", "shift").orderBy("pa")
-    chained = shift.withColumn("new", (F.col("pa") - F.lag("pa", 1, -10 * width).over(line) > width).cast("int"))
-    chained = chained.withColumn("chain", F.sum("new").over(line)).groupBy("a", "b", "shift", "chain").agg(F.min("pa").alias("lo"), (F.max("pa") + width).alias("hi"))
+def _chains(shift: DataFrame) -> DataFrame:
+    """Equal stretches of ``size`` characters (a, b, pa, shift, size) to (n, a, b, shift, lo, hi) where they touch."""
+    line = Window.partitionBy("a", "b", "shift").orderBy("pa", "size")
+    before = F.max(F.col("pa") + F.col("size")).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    chained = shift.withColumn("new", F.coalesce((F.col("pa") > before).cast("int"), F.lit(1)))
+    chained = chained.withColumn("chain", F.sum("new").over(line)).groupBy("a", "b", "shift", "chain").agg(F.min("pa").alias("lo"), F.max(F.col("pa") + F.col("size")).alias("hi"))
     return chained.select(F.monotonically_increasing_id().alias("n"), "a", "b", "shift", "lo", "hi")
 
 
@@ -272,26 +287,23 @@ def shared_spans(docs: DataFrame, least: int = LEAST, window: int = WINDOW, buck
     spans: (doc_a < doc_b, start_a, start_b, length): common spans of at least ``least`` characters, in pairs of places that
     few others share. hot: (key, doc_id, start): stretches of exactly ``least`` characters that stand at many
     places; rows of one key are equal. Together they reveal every pair with a common stretch of that length, up to the chance that
-    no symbol begins equally in its first ``least - window`` characters (measured in the tests). Null and short
+    no run of symbols lies inside it equally (measured in the tests). Null and short
     texts share nothing; ids must be unique; an empty table gives no rows. ``in_rounds``: names by dictionaries.
     """
     scratch = Scratch(docs.sparkSession, "spans")
     d = docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= least)).select("doc_id", "text")
-    if in_rounds:
-        keyed = _named_keys(named_in_rounds(d, scratch.part("names")), window)
-    else:
-        keyed = d.mapInArrow(_windows(window, least), "key long, doc long, pos int")
-    met = keyed.repartition("key").sortWithinPartitions("key", "doc", "pos").mapInArrow(_meet(bucket), "a long, pa int, b long, pb int, hot boolean")
+    keyed = _named_keys(named_in_rounds(d, scratch.part("names")), window) if in_rounds else d.mapInArrow(_keys(window, least), "key long, doc long, pos int, size int")
+    met = keyed.repartition("key").sortWithinPartitions("key", "doc", "pos").mapInArrow(_meet(bucket), "a long, pa int, b long, pb int, size int, hot boolean")
     met = scratch.keep(met, "met")
-    shift = met.where(~F.col("hot")).select("a", "b", "pa", (F.col("pb") - F.col("pa")).alias("shift")).distinct()
-    chains = scratch.keep(_chains(shift, 1 if in_rounds else window), "chains")  # names stand for stretches of any length
-    grown = _grown(d, chains, chains.count(), 2 * least)  # as far as another window would have been met
+    shift = met.where(~F.col("hot")).select("a", "b", "pa", (F.col("pb") - F.col("pa")).alias("shift"), "size").distinct()
+    chains = scratch.keep(_chains(shift), "chains")
+    grown = _grown(d, chains, chains.count(), 2 * least)  # as far as another run would have been met
     spans = scratch.keep(grown.select(*_ends(F.col("lo") - F.col("l"), F.col("hi") + F.col("r"))).where(F.col("length") >= least).distinct(), "spans")
 
-    places = met.where("hot").select(F.col("a").alias("doc_id"), F.col("pa").alias("pos")).distinct()
+    places = met.where("hot").select(F.col("a").alias("doc_id"), F.col("pa").alias("pos"), "size").distinct()
     if places.isEmpty():
         return spans, docs.sparkSession.createDataFrame([], "key long, doc_id long, start int")
-    first = F.greatest(F.lit(0), F.col("pos") - (least - window))
+    first = F.greatest(F.lit(0), F.col("pos") + F.col("size") - least)  # stretches that hold the whole run
     last = F.least(F.col("pos"), F.length("text") - least)
     # Cut out the text around a place before its stretches are listed, so that no row carries a whole text.
     around = d.join(places, "doc_id").where(last >= first)
@@ -315,15 +327,16 @@ def whole_spans(docs: DataFrame, least: int = LEAST, window: int = WINDOW, bucke
     d = docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= least)).select("doc_id", "text")
     spans, hot = shared_spans(docs, least, window, bucket)
     reach = 2 * least
-    whole = [spans.where(F.col("length") < reach + window).withColumn("many", F.lit(False))]
+    cut = reach + window - CAP  # the least length of a chain, grown to one side as far as it is looked at
+    whole = [spans.where(F.col("length") < cut).withColumn("many", F.lit(False))]
     # A span this long may have been cut where its text is hot.
-    long = spans.where(F.col("length") >= reach + window).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), (F.col("start_b") - F.col("start_a")).alias("shift"), F.col("start_a").alias("lo"), (F.col("start_a") + F.col("length")).alias("hi"), F.lit(False).alias("many"))
+    long = spans.where(F.col("length") >= cut).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), (F.col("start_b") - F.col("start_a")).alias("shift"), F.col("start_a").alias("lo"), (F.col("start_a") + F.col("length")).alias("hi"), F.lit(False).alias("many"))
     first = hot.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("x"), F.max(F.struct("doc_id", -F.col("start"))).alias("y"))
     met = hot.join(first, "key").where((F.col("doc_id") != F.col("x.doc_id")) | (F.col("start") != F.col("x.start")))
     own = F.col("doc_id") == F.col("x.doc_id")
     met = met.select(F.col("x.doc_id").alias("a"), F.when(own, F.col("y.doc_id")).otherwise(F.col("doc_id")).alias("b"), F.when(own, F.col("start")).otherwise(F.col("x.start")).alias("pa"), F.when(own, -F.col("y.col2")).otherwise(F.col("start")).alias("pb"))
-    shift = met.select("a", "b", "pa", (F.col("pb") - F.col("pa")).alias("shift")).distinct()
-    open_ = long.unionByName(_chains(shift, least).drop("n").withColumn("many", F.lit(True)))
+    shift = met.select("a", "b", "pa", (F.col("pb") - F.col("pa")).alias("shift"), F.lit(least).alias("size")).distinct()
+    open_ = long.unionByName(_chains(shift).drop("n").withColumn("many", F.lit(True)))
     step = 0
     while True:
         chains = scratch.keep(open_.select(F.monotonically_increasing_id().alias("n"), "a", "b", "shift", "lo", "hi", "many"), f"chains{step}")

@@ -4,7 +4,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from sessionloom.llm.spans import covered, named_in_rounds, p8_spans, shared_spans, symbols, whole_spans
+from sessionloom.llm.spans import WINDOW, covered, named_in_rounds, p8_spans, runs, shared_spans, symbols, whole_spans
 from sessionloom.runtime import Scratch
 
 
@@ -128,17 +128,17 @@ def test_no_documents(spark):
     assert whole_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_equal_stretches_begin_symbols_alike():
+def test_equal_stretches_hold_equal_runs():
     rng = random.Random(5)
 
-    def keys(t, width=100):
+    def keys(t):
         codes = np.frombuffer(t.encode("utf-32-le"), np.uint32)
         at, fingerprint = symbols(codes, np.array([0]))
-        at = at[at + width <= len(codes)]
-        return set(fingerprint(at, at + width).tolist())
+        keep, end = runs(at, np.full(len(at), len(codes)), WINDOW)
+        return set(fingerprint(at[keep], end).tolist())
 
     missed = 0
-    for _ in range(300):
+    for _ in range(600):
         piece = prose(rng, 120)[:200]
         missed += not keys(prose(rng, 60) + piece + prose(rng, 60)) & keys(prose(rng, 60) + piece + prose(rng, 60))
     assert missed == 0
