@@ -106,6 +106,11 @@ SECRET_FORMS = {
 }
 
 
+# Shapes of long tokens that are no secrets.
+HEX_DIGEST = r"^(?:sha\d+:)?[0-9a-fA-F]{16,}$"
+UUID = r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+
+
 def secret_labels(c: str | Column) -> Column:
     """Labels of the secrets in a text, ``high-entropy-token`` last and once.
 
@@ -118,7 +123,7 @@ def secret_labels(c: str | Column) -> Column:
 
     def noisy(t: Column) -> Column:
         has = [t.rlike(p).cast("int") for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")]
-        benign = t.contains("://") | t.rlike(r"^(?:sha\d+:)?[0-9a-fA-F]{16,}$") | t.rlike(r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")
+        benign = t.contains("://") | t.rlike(HEX_DIGEST) | t.rlike(UUID)
         mixed = (sum(has[1:], has[0]) >= 3) & t.rlike(r"[^A-Za-z0-9:\-._/]")
         plain = (F.length(t) >= 48) & t.rlike("^[A-Za-z0-9]+$") & (has[0] + has[1] + has[2] == 3)
         return (F.length(t) >= 32) & ~benign & (mixed | plain)

@@ -346,6 +346,22 @@ SELECT coalesce(n.id, b.id) AS id, coalesce(n.updated_at, b.updated_at) AS updat
         f"SELECT '{n}' AS rule, count(*) AS hits, count(*) >= {least} AS met FROM c WHERE {'type IN (' + ', '.join(repr(x) for x in types) + ')' if types else 'true'} AND " + " AND ".join(f"contains(t, '{k}')" for k in kw) for n, types, kw, least in RULES),
     "access_stats": "SELECT user_id, count(*) AS access_count, max(ts) AS last_accessed FROM events WHERE event_type = 'view' GROUP BY 1",
 }
+# One candidate after another in each session and type, the open pool carried along as a list.
+_LIKE = "m.trigger_text = c.trigger_text OR (CASE WHEN len(m.tokens) = 0 AND len(c.tokens) = 0 THEN m.raw = c.raw ELSE len(list_intersect(m.tokens, c.tokens)) >= 0.6 * (len(m.tokens) + len(c.tokens) - len(list_intersect(m.tokens, c.tokens))) END)"
+_LONGER = ", ".join(f"{x} := CASE WHEN c.size > m.size THEN c.{x} ELSE m.{x} END" for x in ("id", "title", "trigger_text", "lesson", "size", "tokens", "raw"))
+_MERGED = f"struct_pack({_LONGER}, salience := greatest(m.salience, c.salience), volatile := m.volatile OR c.volatile, domain := m.domain || list_filter(c.domain, lambda x: NOT list_contains(m.domain, x)), cited := m.cited || list_filter(c.cited, lambda x: NOT list_contains(m.cited, x)), secrets := list_sort(list_distinct(m.secrets || c.secrets)), merged := m.merged + 1)"
+_MEMBER = "struct_pack(id := c.id, title := c.title, trigger_text := c.trigger_text, lesson := c.lesson, size := c.size, tokens := c.tokens, raw := c.raw, salience := c.salience, volatile := c.volatile, domain := c.domain, cited := c.cited, secrets := c.secrets, merged := CAST(0 AS BIGINT))"
+_ONCE = "list_filter({0}, lambda x, i: x IS NOT NULL AND list_position({0}, x) = i)"
+ORACLE["pool_dedup"] = rf"""WITH RECURSIVE c0 AS (SELECT id, coalesce(session_id, '') AS session_id, coalesce(type, '') AS type, batch_no * 4294967296 + pos AS seq, coalesce(title, '') AS title, coalesce(trigger_text, '') AS trigger_text, coalesce(lesson, '') AS lesson, coalesce(salience, 0) AS salience, coalesce(volatile, false) AS volatile, coalesce(domain, []) AS domain,
+ coalesce(list_transform(evidence, lambda e: regexp_replace(e.message_id, '^#', '')), []) AS cited FROM candidates WHERE id IS NOT NULL),
+c1 AS (SELECT *, row_number() OVER (PARTITION BY id, session_id, type ORDER BY seq, title, trigger_text, lesson, salience, volatile) AS again FROM c0),
+c2 AS (SELECT session_id, type, id, title, trigger_text, lesson, length(lesson) + len(regexp_extract_all(lesson, '[\x{{10000}}-\x{{10ffff}}]')) AS size, {_TOK.format('title')} AS tokens, trim(title) AS raw, salience, volatile, {_ONCE.format('domain')} AS domain, {_ONCE.format('cited')} AS cited,
+ {_SECRETS.format("(title || ' ' || trigger_text || ' ' || lesson)", _NOISY)} AS secrets, row_number() OVER (PARTITION BY session_id, type ORDER BY seq, id) AS n FROM c1 WHERE again = 1),
+r AS (SELECT session_id, type, n, [{_MEMBER}] AS pool FROM c2 c WHERE n = 1
+ UNION ALL SELECT session_id, type, n, CASE WHEN hit IS NULL THEN list_append(pool, member) ELSE list_transform(pool, lambda m, i: CASE WHEN i = hit THEN {_MERGED} ELSE m END) END AS pool
+ FROM (SELECT r.session_id, r.type, c.n, r.pool, {_MEMBER} AS member, c, list_position(list_transform(r.pool, lambda m: ({_LIKE})), true) AS hit FROM r JOIN c2 c ON c.session_id = r.session_id AND c.type = r.type AND c.n = r.n + 1)),
+e AS (SELECT session_id, type, unnest(pool) AS m FROM (SELECT *, row_number() OVER (PARTITION BY session_id, type ORDER BY n DESC) AS last FROM r) WHERE last = 1)
+SELECT m.id, m.title, m.trigger_text, m.lesson, m.salience, m.volatile, array_to_string(m.domain, ',') AS domain, array_to_string(m.cited, ',') AS cited, array_to_string(m.secrets, ',') AS secrets, m.merged, session_id, type FROM e"""
 ORACLE["unprocessed_versions"] = f"""WITH {_SES}, cur AS (SELECT ses.*, coalesce(r.content_hash, 'sha256:' || left(sha256(''), 16)) AS h FROM ses LEFT JOIN ({ORACLE['transcript_render']}) r ON r.session_id = ses.id)
 SELECT id AS session_id, h AS content_hash, {_SLUG} AS project, strftime(make_timestamp(time_updated * 1000), '%Y-%m-%dT%H:%M:%S.%gZ') AS time_end FROM cur
 WHERE coalesce(trim(parent_id), '') IN ('', 'null') AND time_updated <= 1781481600000 - 21600000 AND NOT EXISTS (SELECT 1 FROM ledger WHERE pipeline_version = '1' AND ledger.session_id = cur.id AND ledger.content_hash = h)"""

@@ -14,6 +14,7 @@ from sessionloom.plans import core
 from sessionloom.plans.core import NOW, memories
 from sessionloom.runtime import Scratch, in_force, table
 from sessionloom.sources import files
+from sessionloom.streaming.incremental import run_new, silent_sessions
 
 #: Sessions were exported before at this moment, from the rows that had come by then.
 EXPORTED = "2026-05-01 00:00:00"
@@ -146,6 +147,25 @@ def ledger_file(spark, sf_dir):
     return files.ledger(spark, path)
 
 
+def ingested_ledger(spark, sf_dir):
+    """The keys of the ledger's rows, each once, as a stream brings them in that is run after either of two arrivals of files."""
+    root, keys = Scratch(spark, "ingest").path, ["session_id", "content_hash", "pipeline_version"]
+    t = table(spark, sf_dir, "ledger")
+    late = F.coalesce(F.col("loaded_at") >= F.to_timestamp(F.lit(EXPORTED)), F.lit(False))
+    for arrival in (t.where(~late), t.where(late)):
+        arrival.write.mode("append").parquet(f"{root}/landing")
+        run_new(spark, f"{root}/landing", t.schema, f"{root}/state", keys, lambda df: df.select(*keys), f"{root}/out")
+    return spark.read.option("recursiveFileLookup", True).schema(t.select(*keys).schema).parquet(f"{root}/out")
+
+
+def silent_stretches(spark, sf_dir):
+    """Stretches of each session's messages between silences of six hours."""
+    m = in_force(table(spark, sf_dir, "messages"), "id", "time_updated", ["id", "time_updated", "session_id", "time_created"])
+    ms = F.when(F.col("time_created") < 100_000_000_000, F.col("time_created") * 1000).otherwise(F.col("time_created"))
+    t = silent_sessions(m.where("session_id IS NOT NULL AND time_created IS NOT NULL").select("session_id", F.timestamp_millis(ms).alias("at")))
+    return t.select("session_id", F.unix_millis("started").alias("started"), F.unix_millis("ended").alias("ended"), "messages")
+
+
 def candidate_outcomes(spark, sf_dir):
     """How many candidates are dropped for their salience, rejected, held back for a secret, or valid."""
     c = core.candidate_validation(spark, sf_dir)
@@ -204,7 +224,7 @@ def project_transcripts(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     root_sessions, session_bundles, export_outcomes, backfill_counts, export_markdown, transcript_triage, transcript_turns, search_domain, memory_stats, unique_record_ids, catalog_sections, cluster_tags,
-    removed_superseded, record_files, ledger_file, candidate_outcomes, case_scores, case_pass_rates, retrieval_check, derived_classes, fence_free, project_transcripts,
+    removed_superseded, record_files, ledger_file, ingested_ledger, silent_stretches, candidate_outcomes, case_scores, case_pass_rates, retrieval_check, derived_classes, fence_free, project_transcripts,
 )}
 
 # ---- oracle SQL
@@ -267,6 +287,10 @@ UNION ALL SELECT 'quarantine', row_number() OVER (ORDER BY id) - 1, id, '- ' ||
     "record_files": rf"""WITH {M} SELECT CASE WHEN status = 'quarantined' THEN 'quarantine' ELSE 'memories' END AS store, id, type, title, trigger_text, array_to_string(domain, ',') AS domain, confidence, volatile, superseded_by, CAST(len(evidence) AS INT) AS evidence, updated_at,
  regexp_replace(coalesce(lesson, ''), '^{core._BLANK}+|{core._BLANK}+$', '', 'g') AS lesson, array_to_string(coalesce(notes, []), '|') AS notes, '' AS errors FROM m""",
     "ledger_file": "SELECT session_id, content_hash, pipeline_version, extractor_model, processed_at, n_candidates, n_committed FROM ledger WHERE session_id IS NOT NULL AND content_hash IS NOT NULL AND pipeline_version IS NOT NULL",
+    "ingested_ledger": "SELECT DISTINCT session_id, content_hash, pipeline_version FROM ledger WHERE session_id IS NOT NULL AND content_hash IS NOT NULL AND pipeline_version IS NOT NULL",
+    "silent_stretches": f"""WITH {_MSG}, t AS (SELECT session_id, CASE WHEN time_created < 100000000000 THEN time_created * 1000 ELSE time_created END AS ms FROM msg WHERE session_id IS NOT NULL AND time_created IS NOT NULL),
+g AS (SELECT *, CASE WHEN ms - lag(ms) OVER (PARTITION BY session_id ORDER BY ms) < 21600000 THEN 0 ELSE 1 END AS new FROM t), s AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY ms ROWS UNBOUNDED PRECEDING) AS no FROM g)
+SELECT session_id, min(ms) AS started, max(ms) + 21600000 AS ended, count(*) AS messages FROM s GROUP BY session_id, no""",
     "candidate_outcomes": f"""WITH v AS ({core.ORACLE['candidate_validation']}), s AS (SELECT DISTINCT id, salience FROM candidates)
 SELECT CASE WHEN salience < 3 THEN 'below the floor' WHEN reasons <> '' THEN 'rejected' WHEN secrets <> '' THEN 'secret' ELSE 'valid' END AS outcome, count(*) AS n FROM v JOIN s USING (id) GROUP BY 1""",
     "case_scores": f"WITH {_CASES} SELECT batch_no, \"case\", met, expected, forbidden, extras, total, passed FROM ({_case_sql('c')})",
