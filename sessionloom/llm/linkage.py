@@ -39,7 +39,9 @@ def _prepared(df: DataFrame) -> DataFrame:
     """id, pos, title, words, cid from (id, pos, title, lesson); of repeated ids the first position holds."""
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     first = df.where(F.col("id").isNotNull()).groupBy("id").agg(F.min(F.struct("pos", blank("title").alias("title"), blank("lesson").alias("lesson"))).alias("f"))
-    t = first.select("id", "f.pos", word_hashes("f.title").alias("title"), word_hashes(F.concat_ws(" ", "f.title", "f.lesson")).alias("words"))
+    t = first.select("id", "f.pos", word_hashes("f.title").alias("title"), word_hashes("f.lesson").alias("lesson"))
+    # No word reaches over the blank between title and lesson.
+    t = t.select("id", "pos", "title", F.array_sort(F.array_union("title", "lesson")).alias("words"))
     return t.withColumn("cid", class_id(F.col("words")))
 
 

@@ -140,6 +140,12 @@ def _combined(most: int, count: int, wide: int):
         place = np.arange(count, dtype=np.uint64) << np.uint64(16)
         return _mix(_mix(key.view(np.uint64))[:, None] + (place | other.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
+    def sketches(column: pa.Array) -> np.ndarray:
+        """The rows of a binary column without nulls, all of one length, as they lie in its buffer."""
+        _, offsets, data = column.buffers()
+        at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+        return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(np.uint16).reshape(-1, count)
+
     def sharing(i: np.ndarray, j: np.ndarray, other: np.ndarray):
         """Of the pairs of rows those with an equal second band."""
         for at in range(0, len(i), _CHUNK):
@@ -208,7 +214,7 @@ def _combined(most: int, count: int, wide: int):
             if not batch.num_rows:
                 continue
             rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2)]
-            rows.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(-1, count))
+            rows.append(sketches(batch.column(3)))
             if held is not None:
                 rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
             out = []
