@@ -9,7 +9,6 @@ partitioning, a hub's edges are reduced in each task before they meet, and nothi
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,14 +16,14 @@ from pyspark.sql import functions as F
 from sessionloom.runtime import Scratch
 
 
-def _forest(batches):
-    """Edges (a, b) of one task to edges (node, root) with root < node, at most one a node."""
-    seen = [b for b in batches if b.num_rows]
-    if not seen:
-        return
-    t = pa.Table.from_batches(seen)
-    nodes, codes = np.unique(np.concatenate([t.column("a").to_numpy(), t.column("b").to_numpy()]), return_inverse=True)
-    a, b = codes[: t.num_rows], codes[t.num_rows :]
+#: Edges that a task gathers before it contracts them.
+HELD = 1 << 20
+
+
+def _contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges to (node, root) with root < node, at most one a node."""
+    nodes, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = codes[: len(a)], codes[len(a) :]
     low = np.arange(len(nodes))
     while True:  # hook the greater root below the smaller one, then shorten all paths
         ra, rb = low[a], low[b]
@@ -36,7 +35,23 @@ def _forest(batches):
         while (low[low] != low).any():
             low = low[low]
     keep = low != np.arange(len(nodes))
-    yield pa.RecordBatch.from_pandas(pd.DataFrame({"node": nodes[keep], "root": nodes[low[keep]]}), preserve_index=False)
+    return nodes[keep], nodes[low[keep]]
+
+
+def _forest(batches):
+    """Edges (a, b) of one task to its spanning forest; only the forest of what has passed and ``HELD`` edges, or as many as the forest, are held."""
+    held, rows, most = [], 0, HELD
+    for batch in batches:
+        if batch.num_rows:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            rows += batch.num_rows
+        if rows > most:
+            held = [_contracted(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+            rows = len(held[0][0])
+            most = max(HELD, 2 * rows)
+    if held:
+        node, root = _contracted(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["node", "root"])
 
 
 def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:

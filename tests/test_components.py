@@ -1,7 +1,9 @@
 import random
 
+import pyarrow as pa
 import pytest
 
+from sessionloom.operators import components as module
 from sessionloom.operators.components import components
 
 
@@ -17,3 +19,18 @@ def test_components(spark, parts, n):
     df = spark.createDataFrame(edges, "a long, b long").repartition(parts)
     assert {r.node: r.root for r in components(df).collect()} == root
     assert components(df.limit(0)).count() == 0
+
+
+def test_a_task_holds_no_more_than_its_forest(monkeypatch):
+    monkeypatch.setattr(module, "HELD", 6)
+    rng = random.Random(1)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(50)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges[i : i + 4]], pa.int64()), pa.array([b for _, b in edges[i : i + 4]], pa.int64())], ["a", "b"]) for i in range(0, 50, 4)]
+    (out,) = module._forest(batches)
+    root = dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True))
+    up = lambda x: up(root[x]) if x in root else x
+    least = {x: x for e in edges for x in e}
+    while any(least[a] != least[b] for a, b in edges):
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    assert {x: up(x) for x in least} == least and all(r < n for n, r in root.items())
