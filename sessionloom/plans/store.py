@@ -34,8 +34,9 @@ def root_sessions(spark, sf_dir):
 
 
 def session_bundles(spark, sf_dir):
-    """Every session's readable messages in order of time, with their readable parts in order of id."""
-    return transcripts.bundles(table(spark, sf_dir, "sessions"), table(spark, sf_dir, "messages"), table(spark, sf_dir, "parts"))
+    """Every session's readable messages in order of time, with their readable parts in order of id (part -1: none)."""
+    t = transcripts.bundles(table(spark, sf_dir, "sessions"), table(spark, sf_dir, "messages"), table(spark, sf_dir, "parts"))
+    return t.withColumn("part_no", F.coalesce("part_no", F.lit(-1).cast("long")))
 
 
 def _exports(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +89,7 @@ def memory_stats(spark, sf_dir):
     led = table(spark, sf_dir, "ledger").where("session_id IS NOT NULL AND content_hash IS NOT NULL AND pipeline_version IS NOT NULL")
     counted = core.counts_by_status_and_type(spark, sf_dir)
     done = led.agg(F.countDistinct("session_id", "content_hash", "pipeline_version").alias("n"), F.max("processed_at").alias("last"))
-    rows = done.select(F.explode(F.array(F.struct(F.lit("processed").alias("facet"), F.lit(None).cast("string").alias("value"), F.col("n")), F.struct(F.lit("last processed").alias("facet"), F.col("last").alias("value"), F.lit(None).cast("long").alias("n")))).alias("r")).select("r.*")
+    rows = done.select(F.explode(F.array(F.struct(F.lit("processed").alias("facet"), F.lit(None).cast("string").alias("value"), F.col("n")), F.struct(F.lit("last processed").alias("facet"), F.col("last").alias("value"), F.lit(1).cast("long").alias("n")))).alias("r")).select("r.*")
     held = t.agg(F.sum((F.col("status") == "quarantined").cast("long")).alias("n")).select(F.lit("quarantine").alias("facet"), F.lit(None).cast("string").alias("value"), F.coalesce("n", F.lit(0)).alias("n"))
     return counted.unionByName(rows).unionByName(held)
 
@@ -257,7 +258,7 @@ ORACLE = {
     "root_sessions": f"WITH {_SES} SELECT id, row_number() OVER (ORDER BY time_updated, id) - 1 AS place FROM ses WHERE {_ROOT}",
     "session_bundles": f"""WITH {_SES}, {_MSG}, {_PRT}, mm AS (SELECT id, session_id, time_created, row_number() OVER (PARTITION BY session_id ORDER BY time_created, id) - 1 AS message_no FROM msg WHERE json_valid(data) AND json_type({core._JSON}) IN ('OBJECT', 'ARRAY')),
 pp AS (SELECT id, message_id, row_number() OVER (PARTITION BY message_id ORDER BY id) - 1 AS part_no FROM prt WHERE message_id IS NOT NULL AND json_valid(data) AND json_type({core._JSON}) IN ('OBJECT', 'ARRAY'))
-SELECT s.id AS session_id, mm.id AS message_id, mm.message_no, pp.id AS part_id, pp.part_no FROM ses s JOIN mm ON mm.session_id = s.id LEFT JOIN pp ON pp.message_id = mm.id""",
+SELECT s.id AS session_id, mm.id AS message_id, mm.message_no, pp.id AS part_id, coalesce(pp.part_no, -1) AS part_no FROM ses s JOIN mm ON mm.session_id = s.id LEFT JOIN pp ON pp.message_id = mm.id""",
     "export_outcomes": f"WITH {_EXPORT} SELECT session_id, outcome, reason, CASE WHEN outcome <> 'skipped' THEN slug || '/' || session_id || '.md' END AS path FROM e",
     "backfill_counts": f"WITH {_EXPORT} SELECT outcome, count(*) AS sessions FROM e WHERE {_ROOT} AND coalesce(reason, '') <> 'not found' GROUP BY 1",
     "export_markdown": f"""WITH {_SES}, r AS ({_NOW_RENDERED}), mo AS ({core.ORACLE['session_models']}),
@@ -273,7 +274,7 @@ SELECT session_id, units, CASE WHEN units < 80 THEN 'out' WHEN units < 400 THEN
 d AS (SELECT *, row_number() OVER (ORDER BY score, id) - 1 AS rank FROM top WHERE list_contains(domain, 'storage'))
 SELECT id, title, project, type, confidence, round(rank - confidence - CASE WHEN CAST(updated_at AS TIMESTAMPTZ) >= TIMESTAMPTZ '{NOW}' - INTERVAL 30 DAY THEN 0.75 ELSE 0 END, 6) AS merit FROM d ORDER BY merit, rank LIMIT 40""",
     "memory_stats": core.ORACLE["counts_by_status_and_type"] + """ UNION ALL SELECT 'processed', NULL, count(DISTINCT (session_id, content_hash, pipeline_version)) FROM ledger WHERE session_id IS NOT NULL AND content_hash IS NOT NULL AND pipeline_version IS NOT NULL
-UNION ALL SELECT 'last processed', max(processed_at), NULL FROM ledger WHERE session_id IS NOT NULL AND content_hash IS NOT NULL AND pipeline_version IS NOT NULL UNION ALL SELECT 'quarantine', NULL, count(*) FROM m WHERE status = 'quarantined'""",
+UNION ALL SELECT 'last processed', max(processed_at), 1 FROM ledger WHERE session_id IS NOT NULL AND content_hash IS NOT NULL AND pipeline_version IS NOT NULL UNION ALL SELECT 'quarantine', NULL, count(*) FROM m WHERE status = 'quarantined'""",
     "unique_record_ids": f"""WITH {M}, k AS (SELECT id, created_at, status, concat('mem_', strftime(CAST(created_at AS TIMESTAMP), '%Y%m%d'), '_', left(sha256(project || chr(10) || type), 6)) AS base FROM m),
 n AS (SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY created_at, id) AS r FROM k), t AS (SELECT DISTINCT base FROM k WHERE status = 'superseded'), s AS (SELECT n.*, r + CASE WHEN t.base IS NULL THEN 0 ELSE 1 END AS slot FROM n LEFT JOIN t ON t.base = n.base)
 SELECT id, base, CASE WHEN slot = 1 THEN base ELSE base || '-' || slot END AS unique_id FROM s""",
