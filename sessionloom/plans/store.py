@@ -83,6 +83,16 @@ def search_domain(spark, sf_dir):
     return t.select("id", "title", "project", "type", "confidence", F.round("merit", 6).alias("merit"))
 
 
+#: A project that holds about a tenth of the records.
+PROJECT = "copper-heron"
+
+
+def search_project(spark, sf_dir):
+    """The whole search inside one project; word statistics are still those of all records."""
+    t = search.search(memories(spark, sf_dir, core._SEARCHED), core.QUERY, NOW, project=PROJECT)
+    return t.select("id", "title", "project", "type", "confidence", F.round("merit", 6).alias("merit"))
+
+
 def memory_stats(spark, sf_dir):
     """Records by status and type, processed sessions, the last time of processing, quarantined records."""
     t = memories(spark, sf_dir, ["status", "type"])
@@ -224,7 +234,7 @@ def project_transcripts(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    root_sessions, session_bundles, export_outcomes, backfill_counts, export_markdown, transcript_triage, transcript_turns, search_domain, memory_stats, unique_record_ids, catalog_sections, cluster_tags,
+    root_sessions, session_bundles, export_outcomes, backfill_counts, export_markdown, transcript_triage, transcript_turns, search_domain, search_project, memory_stats, unique_record_ids, catalog_sections, cluster_tags,
     removed_superseded, record_files, ledger_file, ingested_ledger, silent_stretches, candidate_outcomes, case_scores, case_pass_rates, retrieval_check, derived_classes, fence_free, project_transcripts,
 )}
 
@@ -273,6 +283,8 @@ SELECT session_id, units, CASE WHEN units < 80 THEN 'out' WHEN units < 400 THEN
     "search_domain": "WITH " + core._BM25.replace("AND confidence >= 0.5 ", "AND confidence >= 0 ") + f""", top AS (SELECT * FROM sc ORDER BY score, id LIMIT 40),
 d AS (SELECT *, row_number() OVER (ORDER BY score, id) - 1 AS rank FROM top WHERE list_contains(domain, 'storage'))
 SELECT id, title, project, type, confidence, round(rank - confidence - CASE WHEN CAST(updated_at AS TIMESTAMPTZ) >= TIMESTAMPTZ '{NOW}' - INTERVAL 30 DAY THEN 0.75 ELSE 0 END, 6) AS merit FROM d ORDER BY merit, rank LIMIT 40""",
+    "search_project": "WITH " + core._BM25.replace("AND confidence >= 0.5 ", f"AND confidence >= 0.5 AND project = '{PROJECT}' ") + f""", d AS (SELECT *, row_number() OVER (ORDER BY score, id) - 1 AS rank FROM sc ORDER BY score, id LIMIT 30)
+SELECT id, title, project, type, confidence, round(rank - confidence - CASE WHEN CAST(updated_at AS TIMESTAMPTZ) >= TIMESTAMPTZ '{NOW}' - INTERVAL 30 DAY THEN 0.75 ELSE 0 END, 6) AS merit FROM d ORDER BY merit, rank LIMIT 10""",
     "memory_stats": core.ORACLE["counts_by_status_and_type"] + """ UNION ALL SELECT 'processed', NULL, count(DISTINCT (session_id, content_hash, pipeline_version)) FROM ledger WHERE session_id IS NOT NULL AND content_hash IS NOT NULL AND pipeline_version IS NOT NULL
 UNION ALL SELECT 'last processed', max(processed_at), 1 FROM ledger WHERE session_id IS NOT NULL AND content_hash IS NOT NULL AND pipeline_version IS NOT NULL UNION ALL SELECT 'quarantine', NULL, count(*) FROM m WHERE status = 'quarantined'""",
     "unique_record_ids": f"""WITH {M}, k AS (SELECT id, created_at, status, concat('mem_', strftime(CAST(created_at AS TIMESTAMP), '%Y%m%d'), '_', left(sha256(project || chr(10) || type), 6)) AS base FROM m),

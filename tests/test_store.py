@@ -76,6 +76,7 @@ def test_search_filters_by_domain_after_the_fetch(spark):
     assert search.search(df, "guard", now, domain="x").count() == 0  # not among the 30 that are fetched
     assert [r.id for r in search.search(df, "guard", now, domain="x", limit=50).collect()] == ["m35"]
     assert search.search(df, "guard", now, limit=99).count() == 39 and search.search(df, "guard", now, include_tentative=True, limit=99).count() == 40
+    assert search.search(df, "guard", now, project="q").count() == 0 and search.search(df, "guard", now, project="p", kind="pitfall").count() == 10
     assert search.by_id(df, "m07").collect()[0].confidence == 0.9 and search.by_id(df, "nope").count() == 0
 
 
