@@ -208,13 +208,11 @@ def find(text: str, names: Names | None) -> list[tuple[int, int, str]]:
     for run in _NUMBERS.finditer(text):
         for m in _PHONE.finditer(text, run.start(), min(len(text), run.end() + 3)):
             take(*m.span(), "phone")
-    for words, form in _ADDRESSES:
-        if any(w in low for w in words):
-            for m in form.finditer(text):
-                a, b = m.span()
-                while text[b - 1] in " .,;\n\t":
-                    b -= 1
-                take(a, b, "address")
+    places = [m.span() for words, form in _ADDRESSES if any(w in low for w in words) for m in form.finditer(text)]
+    for a, b in sorted(places, key=lambda x: (x[0], -x[1])):  # of two forms that overlap, the one that begins first
+        while text[b - 1] in " .,;\n\t":
+            b -= 1
+        take(a, b, "address")
     if names is not None:
         for m in names.finditer(text):
             take(*m.span(), "person_name")
