@@ -5,18 +5,35 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions.text import token_set, tokens
+from sessionloom.operators.components import HELD, _contracted
 from sessionloom.runtime import Scratch
 
+#: Classes in a chunk of a block; two chunks meet in one task.
+CHUNK = 1 << 14
+
 
 def query_tokens(query: str) -> list[str]:
     """Runs of letters, digits and underscores of a query, in order, in their case."""
     return re.findall(r"\w+", query)
 
 
+def _classes(records: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(membership, classes) of records (id, block, text): (id, block, class_id) and (block, key, class_id, set)."""
+    r = records.where(F.col("id").isNotNull() & F.col("block").isNotNull()).select("id", "block", F.coalesce("text", F.lit("")).alias("text"))
+    r = r.groupBy("id", "block").agg(F.max("text").alias("text")).select("id", "block", F.array_sort(token_set("text")).alias("set"), "text")
+    key = F.when(F.size("set") > 0, F.concat(F.lit("t"), F.array_join("set", "\x1f"))).otherwise(F.concat(F.lit("r"), F.trim("text")))
+    r = scratch.keep(r.select("id", "block", "set", key.alias("key")), "sets")
+    classes = scratch.keep(r.groupBy("block", "key").agg(F.min("id").alias("class_id"), F.first("set").alias("set")), "classes")
+    membership = r.join(classes.select("block", "key", "class_id"), ["block", "key"]).select("id", "block", "class_id")
+    return membership, classes
+
+
 def similar_classes(records: DataFrame, threshold: float, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """(membership, links) of records (id, block, text) by token-set Jaccard similarity inside blocks.
 
@@ -28,12 +45,7 @@ def similar_classes(records: DataFrame, threshold: float, scratch: Scratch | Non
     empty; rows without id or block are left out, repeated ids in a block count once; empty input gives no rows.
     """
     scratch = scratch or Scratch(records.sparkSession, "prefix-join")
-    r = records.where(F.col("id").isNotNull() & F.col("block").isNotNull()).select("id", "block", F.coalesce("text", F.lit("")).alias("text"))
-    r = r.groupBy("id", "block").agg(F.max("text").alias("text")).select("id", "block", F.array_sort(token_set("text")).alias("set"), "text")
-    key = F.when(F.size("set") > 0, F.concat(F.lit("t"), F.array_join("set", "\x1f"))).otherwise(F.concat(F.lit("r"), F.trim("text")))
-    r = scratch.keep(r.select("id", "block", "set", key.alias("key")), "sets")
-    classes = scratch.keep(r.groupBy("block", "key").agg(F.min("id").alias("class_id"), F.first("set").alias("set")), "classes")
-    membership = r.join(classes.select("block", "key", "class_id"), ["block", "key"]).select("id", "block", "class_id")
+    membership, classes = _classes(records, scratch)
     exploded = classes.select("block", "class_id", F.explode("set").alias("token"))
     often = exploded.groupBy("token").agg(F.count("*").alias("n"))
     placed = exploded.join(often, "token").groupBy("block", "class_id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("o"))
@@ -57,6 +69,69 @@ def similar_classes(records: DataFrame, threshold: float, scratch: Scratch | Non
     return membership, links
 
 
+def _joined(threshold: float, held: int = HELD):
+    """The rows (node, chunk, lo, hi, words) of a pair of chunks to a forest (a, b) that joins what its alike pairs join.
+
+    For each row of one chunk the words that it shares with each row of the other are counted from the postings, so that no
+    pair is written anywhere. Of the alike pairs only those of parts that are not joined yet are held, and at most ``held`` and
+    those of one row.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        node, chunk, lo, hi = (group.column(c).to_numpy() for c in ("node", "chunk", "lo", "hi"))
+        words = group.column("words").combine_chunks()
+        size = np.diff(words.offsets.to_numpy())
+        _, word = np.unique(words.flatten().to_numpy(), return_inverse=True)
+        own = np.repeat(np.arange(len(node)), size)
+        left, right = np.flatnonzero(chunk == lo), np.flatnonzero(chunk == hi)
+        spot = np.full(len(node), -1)
+        spot[right] = np.arange(len(right))
+        met = spot[own] >= 0
+        order = np.argsort(word[met], kind="stable")
+        post, ends = spot[own[met]][order], np.concatenate([[0], np.cumsum(np.bincount(word[met], minlength=int(word.max(initial=-1)) + 1))])
+        start = np.concatenate([[0], np.cumsum(size)])
+        part, forest, fresh, rows, last = np.arange(len(node)), [], [], 0, None
+        for i in left[np.argsort(size[left], kind="stable")]:
+            if size[i] != last:
+                last = size[i]
+                # Never more than it takes; the division below decides.
+                need = np.maximum(1, np.ceil((last + size[right]) * (threshold / (1 + threshold)) - 1e-6)).astype(np.int64)
+            shared = np.bincount(np.concatenate([post[ends[w] : ends[w + 1]] for w in word[start[i] : start[i + 1]]]), minlength=len(right))
+            j = np.flatnonzero(shared >= need)
+            j = j[shared[j] / (last + size[right[j]] - shared[j]) >= threshold]
+            j = right[j]
+            j = j[part[j] != part[i]]
+            if len(j):
+                fresh.append((np.full(len(j), i), j))
+                rows += len(j)
+            if rows > held:
+                forest = [_contracted(*(np.concatenate(x) for x in zip(*forest, *fresh, strict=True)))]
+                part[forest[0][0]] = forest[0][1]
+                fresh, rows = [], 0
+        if forest or fresh:
+            forest = [_contracted(*(np.concatenate(x) for x in zip(*forest, *fresh, strict=True)))]
+        a, b = forest[0] if forest else (np.zeros(0, int), np.zeros(0, int))
+        return pa.table({"a": node[a], "b": node[b]})
+
+    return run
+
+
+def joined_classes(records: DataFrame, threshold: float, scratch: Scratch | None = None, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """(membership, edges): the classes of ``similar_classes``, and edges (a, b) that join exactly what its links join.
+
+    Ends of edges are xxhash64(block, class_id). The classes of a block are cut into chunks of about ``chunk``, and a task has
+    two chunks. Links may be as many as the square of a block; a task returns a forest, at most one edge for each of its classes.
+    """
+    scratch = scratch or Scratch(records.sparkSession, "joined")
+    membership, classes = _classes(records, scratch)
+    many = classes.where(F.size("set") > 0).groupBy("block").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
+    t = classes.where(F.size("set") > 0).join(many, "block")
+    t = t.select("block", F.xxhash64("block", "class_id").alias("node"), F.pmod(F.xxhash64("class_id"), F.col("chunks")).cast("int").alias("chunk"), "chunks", F.transform("set", lambda w: F.xxhash64(w)).alias("words"))
+    t = t.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    t = t.select("block", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "node", "chunk", "words")
+    return membership, scratch.keep(t.groupBy("block", "lo", "hi").applyInArrow(_joined(threshold), "a long, b long"), "joined")
+
+
 def nearest(queries: DataFrame, records: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, id, score, rank) of the k best records for each query by word-level BM25.
 

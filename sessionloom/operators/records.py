@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions.text import js_length, js_trim, secret_labels, words
 from sessionloom.operators.components import components
-from sessionloom.operators.prefix_join import similar_classes
+from sessionloom.operators.prefix_join import joined_classes, similar_classes
 from sessionloom.operators.runs import running_totals
 from sessionloom.runtime import Scratch
 
@@ -32,11 +32,12 @@ def clusters(records: DataFrame, threshold: float = 0.35, least: int = 2, cap: i
     scratch = Scratch(records.sparkSession, "clusters")
     tagged = records.select("id", F.explode(F.array_distinct("domain")).alias("block"), "text", "confidence").where(F.col("block").isNotNull() & F.col("id").isNotNull())
     tagged = scratch.keep(tagged, "tagged")
-    membership, links = similar_classes(tagged, threshold, scratch)
+    membership, edges = joined_classes(tagged, threshold, scratch)
     membership = scratch.keep(membership, "membership")
-    node = lambda c: F.xxhash64("block", F.col(c))
-    roots = components(links.select(node("a").alias("a"), node("b").alias("b")), scratch)
-    placed = membership.withColumn("node", node("class_id")).join(roots, "node", "left").select("id", "block", F.coalesce("root", "node").alias("root"))
+    scratch.drop("sets")
+    scratch.drop("classes")
+    roots = components(edges, scratch)
+    placed = membership.withColumn("node", F.xxhash64("block", "class_id")).join(roots, "node", "left").select("id", "block", F.coalesce("root", "node").alias("root"))
     ranked = placed.join(tagged.groupBy("id", "block").agg(F.max("confidence").alias("confidence")), ["id", "block"])
     sizes = ranked.groupBy("block", "root").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     ranked = ranked.join(sizes, ["block", "root"])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +46,21 @@ def ship(spark: SparkSession) -> None:
     context._sessionloom_shipped = True
 
 
+@contextlib.contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """What is written inside leaves no shuffle files; otherwise they stay until the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 class Scratch:
     """Intermediate tables under ``spark.checkpoint.dir``.
 
@@ -71,9 +88,10 @@ class Scratch:
         return inner
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df and returns it as a scan of what was written."""
+        """Writes df and returns it as a scan of what was written. The shuffles that made it are deleted with the end of the write."""
         where = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(where)
+        with shuffles_deleted(self.spark):
+            df.write.mode("overwrite").parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
     def drop(self, name: str) -> None:

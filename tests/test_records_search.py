@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from sessionloom.operators import records as rec
 from sessionloom.operators import search, transcripts
-from sessionloom.operators.prefix_join import nearest, similar_classes
+from sessionloom.operators import prefix_join
+from sessionloom.operators.components import components
+from sessionloom.operators.prefix_join import joined_classes, nearest, similar_classes
 from sessionloom.plans import core
 
 ROWS = "id string, title string, trigger_text string, lesson string, domain array<string>, project string, type string, status string, confidence double, updated_at string"
@@ -70,6 +72,39 @@ def test_clusters_cap_and_tags(spark):
     assert got == {("t", 12, ",".join(f"m{i:02d}" for i in range(2, 14))), ("u", 2, "z1,z2")}
 
 
+@pytest.mark.parametrize(("chunk", "held"), [(1 << 14, 1 << 20), (9, 3)])
+def test_joined_classes_join_what_the_links_join(spark, monkeypatch, chunk, held):
+    run = prefix_join._joined
+    monkeypatch.setattr(prefix_join, "_joined", lambda threshold: run(threshold, held))
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(f"i{i:03d}", rng.choice("xxy"), " ".join(rng.choices(words, k=rng.randrange(0, 9)))) for i in range(200)] + [("n", "x", None), ("p1", "x", "!!")]
+    df = spark.createDataFrame(rows, "id string, block string, text string")
+    node = lambda c: F.xxhash64("block", F.col(c))
+    for t in (0.35, 0.6, 1.0):
+        membership, links = similar_classes(df, t)
+        got_membership, edges = joined_classes(df, t, chunk=chunk)
+        assert set(got_membership.collect()) == set(membership.collect())
+        want = {r.node: r.root for r in components(links.select(node("a").alias("a"), node("b").alias("b"))).collect()}
+        assert {r.node: r.root for r in components(edges).collect()} == want and (want or t == 1.0)
+    assert joined_classes(df.limit(0), 0.35)[1].count() == 0
+
+
+def shuffled(spark):
+    """Rows that all stages so far wrote for a shuffle."""
+    gw = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gw.new_array(gw.jvm.double, 0), gw.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_clusters_shuffle_no_pairs(spark):
+    rows = [(f"m{i:03d}", ["t"], f"order of things matters here only{i}", 0.5) for i in range(300)]
+    before = shuffled(spark)
+    (got,) = rec.clusters(spark.createDataFrame(rows, "id string, domain array<string>, text string, confidence double")).collect()
+    assert (got.size, got.members) == (12, ",".join(f"m{i:03d}" for i in range(12)))
+    assert shuffled(spark) - before < 30 * 300  # 44,850 pairs are alike
+
+
 def greedy(rows):
     pool = []
     for r in sorted(rows, key=lambda r: (r[2], r[0])):
