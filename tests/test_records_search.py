@@ -11,6 +11,7 @@ from sessionloom.operators import prefix_join
 from sessionloom.operators.components import components
 from sessionloom.operators.prefix_join import joined_classes, nearest, similar_classes
 from sessionloom.plans import core
+from sessionloom.plans import store as store_plans
 
 ROWS = "id string, title string, trigger_text string, lesson string, domain array<string>, project string, type string, status string, confidence double, updated_at string"
 
@@ -105,6 +106,15 @@ def test_clusters_shuffle_no_pairs(spark):
     assert shuffled(spark) - before < 30 * 300  # 44,850 pairs are alike
 
 
+def test_cluster_tags_shuffle_no_pairs(spark, tmp_path):
+    tag = rec.DERIVED + ",".join(f"m{i:03d}" for i in range(12))
+    rows = [(f"m{i:03d}", "1", "active", ["t"], f"order of things matters here only{i}", None, 0.5, None, None) for i in range(300)] + [("a", "1", "active", ["t"], "order of things matters here", None, 0.9, [tag], None)]
+    spark.createDataFrame(rows, "id string, updated_at string, status string, domain array<string>, title string, trigger_text string, confidence double, notes array<string>, loaded_at timestamp").write.parquet(str(tmp_path / "memories.parquet"))
+    before = shuffled(spark)
+    assert [tuple(r) for r in store_plans.cluster_tags(spark, str(tmp_path)).collect()] == [(tag[len(rec.DERIVED) :], tag, True)]
+    assert shuffled(spark) - before < 30 * 300
+
+
 def greedy(rows):
     pool = []
     for r in sorted(rows, key=lambda r: (r[2], r[0])):
