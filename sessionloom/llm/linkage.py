@@ -2,8 +2,8 @@
 
 Incremental record linkage over tables that are kept between batches, each cut into folders by ranges of a hash:
 
-``keys``      blocking keys of every accepted record: minhash bands, with a sketch of further bands (see ``textsim``)
-``records``   the accepted records' word sets, by the hash of the set
+``keys``      blocking keys of every accepted record: minhash bands
+``records``   the accepted records' word sets with a sketch of further bands (see ``textsim``), by the hash of the set
 ``clusters``  rows (id, rep, step), by the hash of the id; the latest step of an id holds, and a rep may point on to another
 
 A batch computes its own keys and opens only the folders that they fall into, then only those folders of records and
@@ -23,15 +23,19 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm.textsim import ALIKE, alike_in_large, class_id, jaccard, meeting, tensored, word_hashes
+from sessionloom.llm.textsim import ALIKE, alike_in_large, band_keys, band_sketch, class_id, jaccard, meeting, word_hashes
 from sessionloom.operators.components import components
-from sessionloom.runtime import BROADCAST_ROWS, Scratch, in_force, table
+from sessionloom.runtime import BROADCAST_ROWS, Scratch, in_force, shuffles_deleted, table
 
 #: Bands and minhashes of a band in each of the two collections: a pair alike to 0.6 meets with probability 0.9974, to
 #: 0.65 with 0.9998, to 0.7 with 0.99999; a pair alike to 0.2 with 0.005, to 0.15 with 0.0006.
 BANDS, ROWS = 48, 4
 #: Rows in a folder of a kept table.
 FOLDER_ROWS = 400_000
+#: Keys of batch and history that cross the network with their sketches at once, until ``PASSES`` share all bands.
+PASS_KEYS, PASSES = 1_000_000, 16
+#: Met pairs that cross the network with their word sets at once, until ``PASSES`` share all.
+PASS_PAIRS = 150_000
 _LEVELS = (0.3, 0.6, 0.85)
 
 
@@ -96,9 +100,28 @@ def first_come(classes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFr
     return scratch.keep(own.groupBy(F.col("later").alias("cid")).agg(F.min(F.struct("p", "first")).alias("m")).select("cid", F.col("m.first").alias("original")), "repeats")
 
 
+def _keyed(sets: DataFrame, part: range | None = None) -> DataFrame:
+    """A row for each band key, or for those of a part of the bands, from (words, other columns)."""
+    rest = [c for c in sets.columns if c != "words"]
+    return sets.select(*rest, F.explode(band_keys(BANDS, ROWS, part)("words")).alias("key"))
+
+
+def _words(prepared: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(cid, pos, title, words, other) of the word sets of (id, pos, title, words, cid), each once; of the first position the title."""
+    one = prepared.groupBy("cid").agg(F.min(F.struct("pos", "title")).alias("f"), F.first("words").alias("words"))
+    return scratch.keep(one.select("cid", "f.pos", "f.title", "words", band_sketch(BANDS, ROWS)("words").alias("other")), name)
+
+
+def _in_parts(pairs: int, work, scratch: Scratch, name: str) -> DataFrame:
+    """The kept results of ``work(own)`` for parts of so many pairs; ``own(c)`` says that a row is of the part by its column c."""
+    parts = min(PASSES, max(1, -(-pairs // PASS_PAIRS)))
+    done = [scratch.keep(work(lambda c, k=k: F.pmod(F.xxhash64(c), F.lit(parts)) == k), f"{name}{k}") for k in range(parts)]
+    return functools.reduce(DataFrame.union, done)
+
+
 _KEPT = {
-    "keys": ("key", "key long, id long, other binary"),
-    "records": ("cid", "cid long, kind int, pos long, id string, title array<long>, words array<long>"),
+    "keys": ("key", "key long, id long"),
+    "records": ("cid", "cid long, kind int, pos long, id string, title array<long>, words array<long>, other binary"),
     "clusters": ("id", "id string, rep string, step int"),
 }
 
@@ -119,8 +142,9 @@ class Linker:
     def _write(self, df: DataFrame, name: str) -> None:
         by, schema = _KEPT[name]
         t = df.select(*[c.split()[0] for c in schema.split(", ")]).withColumn("bucket", self._bucket(name))
-        # Keys and sketches are all different, so a dictionary of them only costs time.
-        t.repartition("bucket").sortWithinPartitions("bucket", by).write.mode("append").option("parquet.enable.dictionary", name != "keys").partitionBy("bucket").parquet(f"{self.path}/{name}")
+        # Keys are all different, so a dictionary of them only costs time.
+        with shuffles_deleted(self.spark):
+            t.repartition("bucket").sortWithinPartitions("bucket", by).write.mode("append").option("parquet.enable.dictionary", name != "keys").partitionBy("bucket").parquet(f"{self.path}/{name}")
 
     def kept(self, name: str, wanted: DataFrame | None = None, rows: int = 0) -> DataFrame:
         """A kept table; with ``wanted`` (rows with its key column) only the folders in which those can lie.
@@ -134,19 +158,57 @@ class Linker:
                 t = t.where(F.col("bucket").isin(numbers))
         return t.drop("bucket")
 
-    def _accept(self, records: DataFrame, kind: int, scratch: Scratch) -> None:
-        """Adds records (id, pos, title, words, cid), of which history has no equal word set."""
+    def _accept(self, records: DataFrame, words: DataFrame, kind: int, scratch: Scratch, spent: str) -> None:
+        """Adds records (id, pos, cid), of which history has no equal word set; words: (cid, title, words, other), in the table ``spent``."""
         self.step += 1
-        one = records.groupBy("cid").agg(F.min(F.struct("pos", "id", "title", "words")).alias("r")).select("cid", F.lit(kind).alias("kind"), "r.*")
-        one = scratch.keep(one, "accepted")
+        one = records.groupBy("cid").agg(F.min(F.struct("pos", "id")).alias("r")).select("cid", F.lit(kind).alias("kind"), "r.*")
+        one = scratch.keep(one.join(words, "cid"), "accepted")
+        scratch.drop(spent)
         self._write(one, "records")
-        self._write(tensored(one.select(F.col("cid").alias("id"), "words"), BANDS, ROWS), "keys")
+        self._write(_keyed(one.where(F.size("words") > 0).select(F.col("cid").alias("id"), "words")), "keys")
         self._write(records.select("id", F.col("id").alias("rep"), F.lit(self.step).alias("step")), "clusters")
+        scratch.drop("accepted")
 
     def bootstrap(self, records: DataFrame) -> None:
         """Takes (id, title, lesson) as history without testing it; the least id stands for equal word sets."""
         scratch = Scratch(self.spark, "bootstrap")
-        self._accept(scratch.keep(_prepared(records.select("id", F.lit(0).cast("long").alias("pos"), "title", "lesson")), "history"), 0, scratch)
+        full = scratch.keep(_prepared(records.select("id", F.lit(0).cast("long").alias("pos"), "title", "lesson")), "history")
+        # The title that stands for equal word sets is that of the least id.
+        words = _words(full.withColumn("pos", F.struct("pos", "id")), scratch, "words").drop("pos")
+        full = scratch.keep(full.select("id", "pos", "cid"), "ids")
+        scratch.drop("history")
+        self._accept(full, words, 0, scratch, "words")
+        scratch.drop("ids")
+
+    def _meetings(self, sets: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        """What ``meeting`` finds between sets (cid, words, other) and history: (pairs, large), and the records that were read for it.
+
+        Few sets take the kept keys of their folders and then the sketches of the records which those name. Many would open
+        all folders; they make the keys of history anew from its word sets, a part of the bands at a time, so that
+        sketches and keys of one part only lie on disk. A table belongs to one band, so the parts find the same as all at once.
+        """
+        rows = sets.count() * BANDS
+        mine = sets.select(F.col("cid").alias("id"), "words", "other")
+        if rows <= BROADCAST_ROWS:  # counted: so many keys of 8 bytes
+            keyed = scratch.keep(_keyed(mine), "keys")
+            old = self.kept("keys", keyed, rows).join(F.broadcast(keyed.select("key").distinct()), "key", "left_semi")
+            old = scratch.keep(old, "old-keys")
+            wanted = scratch.keep(old.select(F.col("id").alias("cid")).union(sets.select("cid")).distinct(), "named")
+            read = scratch.keep(self.kept("records", wanted).join(wanted, "cid", "left_semi"), "read")
+            old = old.join(read.select(F.col("cid").alias("id"), "other"), "id")
+            found = [meeting(keyed.withColumn("old", F.lit(False)).unionByName(old.withColumn("old", F.lit(True))), scratch, BANDS)]
+        else:
+            history, found, read = self.kept("records").where(F.size("words") > 0), [], None
+            every = mine.withColumn("old", F.lit(False)).unionByName(history.select(F.col("cid").alias("id"), "words", "other", F.lit(True).alias("old")))
+            parts = min(PASSES, max(1, -(-every.count() * BANDS // PASS_KEYS)))
+            for k in range(parts):
+                inner = scratch.part(f"bands{k}")
+                pairs, large = meeting(_keyed(every, range(k * BANDS // parts, (k + 1) * BANDS // parts)), inner, BANDS)
+                found.append((inner.keep(pairs, "pairs"), inner.keep(large, "large")))
+                inner.drop("combined")
+                inner.drop("tables")
+        met, large = (functools.reduce(DataFrame.union, x) for x in zip(*found, strict=True))
+        return scratch.keep(met.distinct(), "met"), scratch.keep(large, "large"), read
 
     def link(self, batch: DataFrame) -> DataFrame:
         """Finds the repeats in (id, pos, title, lesson) and accepts the rest: (id, original_id, score, history).
@@ -157,30 +219,31 @@ class Linker:
         """
         scratch = Scratch(self.spark, "link")
         # A position of its own for each record: ties in pos go by id.
-        b = scratch.keep(_prepared(batch).withColumn("pos", F.struct("pos", "id")), "batch")
-        sets = b.where(F.size("words") > 0).groupBy("cid").agg(F.min("pos").alias("pos"), F.first("title").alias("title"), F.first("words").alias("words"))
-        sets = scratch.keep(sets, "classes")
-        keyed = tensored(sets.select(F.col("cid").alias("id"), "words"), BANDS, ROWS)
-        rows = sets.count() * BANDS
-        if rows <= BROADCAST_ROWS:  # counted: so many keys of 8 bytes
-            keyed = scratch.keep(keyed, "keys")
-            old = self.kept("keys", keyed, rows).join(F.broadcast(keyed.select("key").distinct()), "key", "left_semi")
-        else:
-            old = self.kept("keys", keyed, rows)
-        met, large = meeting(keyed.withColumn("old", F.lit(False)).unionByName(old.withColumn("old", F.lit(True))), scratch, BANDS)
-        met = scratch.keep(met, "met")
+        full = scratch.keep(_prepared(batch).withColumn("pos", F.struct("pos", "id")), "batch")
+        every = _words(full, scratch, "classes")
+        b = scratch.keep(full.select("id", "pos", "cid", (F.size("words") > 0).alias("worded")), "ids")
+        scratch.drop("batch")
+        sets = every.where(F.size("words") > 0)
+        met, large, read = self._meetings(sets, scratch)
         # Word sets are read of what was met, and of equal sets.
         wanted = met.where("old").select(F.col("b").alias("cid")).union(large.where("old").select("id")).union(sets.select("cid")).distinct()
         wanted = scratch.keep(wanted, "wanted")
-        history = scratch.keep(self.kept("records", wanted).join(wanted, "cid", "left_semi"), "history")
+        history = scratch.keep((self.kept("records", wanted) if read is None else read).join(wanted, "cid", "left_semi").drop("other"), "history")
         if not large.isEmpty():
             words = sets.select(F.col("cid").alias("id"), "words").union(history.select("cid", "words")).dropDuplicates(["id"])
             met = scratch.keep(met.union(alike_in_large(large, words, scratch, self.threshold)).distinct(), "met-all")
         equal = sets.join(history.select("cid"), "cid", "left_semi").select(F.col("cid").alias("c"), F.col("cid").alias("h"))
         across = met.where("old").select(F.col("a").alias("c"), F.col("b").alias("h")).union(equal).distinct()
+        across = scratch.keep(across, "across")
         side = lambda p, k: [F.col("cid").alias(k), F.col("title").alias(f"{p}t"), F.col("words").alias(f"{p}w")]
-        pairs = across.join(history.select(*side("h", "h"), F.col("id").alias("h_id"), "kind", F.col("pos").alias("h_pos")), "h").join(sets.select(*side("c", "c")), "c")
-        pairs = scratch.keep(pairs.select("c", "h", "h_id", "kind", "h_pos", jaccard("ht", "ct").alias("t"), jaccard("hw", "cw").alias("w")), "pairs")
+
+        def measured(own) -> DataFrame:
+            known = history.where(own("cid")).select(*side("h", "h"), F.col("id").alias("h_id"), "kind", F.col("pos").alias("h_pos"))
+            t = across.where(own("h")).join(known, "h").join(sets.select(*side("c", "c")), "c")
+            return t.select("c", "h", "h_id", "kind", "h_pos", jaccard("ht", "ct").alias("t"), jaccard("hw", "cw").alias("w"))
+
+        pairs = _in_parts(across.count(), measured, scratch, "pairs")
+        scratch.drop("history")
         counted = pairs.groupBy(_level("t").alias("a"), _level("w").alias("b")).count().collect()  # at most 16 patterns
         weight = learn_weights([(r.a, r["b"], r["count"]) for r in counted])
         value = lambda f, c: sum((F.when(_level(c) == k, float(weight[f, k])).otherwise(0.0) for k in range(4)), F.lit(0.0))
@@ -190,15 +253,17 @@ class Linker:
         old = alike.groupBy(F.col("c").alias("cid")).agg(F.min(rank).alias("m")).select("cid", F.col("m.id").alias("original_id"), (-F.col("m.s")).alias("score"))
         old = scratch.keep(old, "old")
         new = sets.join(old, "cid", "left_anti")
-        both = met.where(~F.col("old")).select("a", "b").join(new.select(F.col("cid").alias("a"), F.col("words").alias("wa")), "a").join(new.select(F.col("cid").alias("b"), F.col("words").alias("wb")), "b")
-        inner = first_come(new.select("cid", "pos"), both.where(jaccard("wa", "wb") >= self.threshold).select("a", "b"), scratch)
-        lead = b.where(F.size("words") > 0).groupBy("cid").agg(F.min("pos").alias("lead"))
+        within = met.where(~F.col("old")).select("a", "b")
+        word = lambda t, k: t.select(F.col("cid").alias(k), F.col("words").alias(f"w{k}"))
+        alike_new = lambda own: within.where(own("a")).join(word(new.where(own("cid")), "a"), "a").join(word(new, "b"), "b").where(jaccard("wa", "wb") >= self.threshold).select("a", "b")
+        inner = first_come(new.select("cid", "pos"), _in_parts(within.count(), alike_new, scratch, "within"), scratch)
+        lead = b.where("worded").groupBy("cid").agg(F.min("pos").alias("lead"))
         origin = inner.join(lead.select(F.col("cid").alias("original"), F.col("lead.id").alias("original_id")), "original").select("cid", "original_id", F.lit(None).cast("double").alias("score"), F.lit(False).alias("history"))
         known = old.withColumn("history", F.lit(True)).unionByName(origin)
         t = b.join(lead, "cid", "left").join(known, "cid", "left")
         repeat = F.coalesce("original_id", F.when(F.col("pos") > F.col("lead"), F.col("lead.id")))
-        result = scratch.keep(t.select("id", "pos", "title", "words", "cid", repeat.alias("original_id"), "score", F.coalesce("history", F.lit(False)).alias("history")), "result")
-        self._accept(result.where(F.col("original_id").isNull()).select("id", F.col("pos.pos").alias("pos"), "title", "words", "cid"), 1, scratch)
+        result = scratch.keep(t.select("id", "pos", "cid", repeat.alias("original_id"), "score", F.coalesce("history", F.lit(False)).alias("history")), "result")
+        self._accept(result.where(F.col("original_id").isNull()).select("id", F.col("pos.pos").alias("pos"), "cid"), every.drop("pos"), 1, scratch, "classes")
         self._join_clusters(result, alike, scratch)
         return result.where(F.col("original_id").isNotNull()).select("id", "original_id", "score", "history")
 

@@ -64,9 +64,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _lowest(words: np.ndarray, count: int, seed: int) -> np.ndarray:
-    """``count`` minhashes of a word set, of 32 bits each."""
-    a, b = _multipliers(count, seed)
+def _lowest(words: np.ndarray, count: int, seed: int, part: slice = slice(None)) -> np.ndarray:
+    """``count`` minhashes of a word set, of 32 bits each, or a part of them."""
+    a, b = (x[part] for x in _multipliers(count, seed))
+    count = len(a)
     w = (words >> 32).astype(np.uint32)[:, None]
     if len(w) <= 4096:
         return (w * a + b).min(0, initial=2**32 - 1)
@@ -76,10 +77,12 @@ def _lowest(words: np.ndarray, count: int, seed: int) -> np.ndarray:
     return low
 
 
-def bands(sets: list[np.ndarray], count: int, rows: int, seed: int) -> np.ndarray:
-    """For each word set ``count`` keys, each of ``rows`` minhashes."""
-    low = np.stack([_lowest(w, count * rows, seed) for w in sets]).reshape(len(sets), count, rows).astype(np.uint64)
-    key = np.zeros((len(sets), count), np.uint64)
+def bands(sets: list[np.ndarray], count: int, rows: int, seed: int, part: range | None = None) -> np.ndarray:
+    """For each word set ``count`` keys, or a part of them, each of ``rows`` minhashes."""
+    part = range(count) if part is None else part
+    own = slice(part.start * rows, part.stop * rows)
+    low = np.stack([_lowest(w, count * rows, seed, own) for w in sets]).reshape(len(sets), len(part), rows).astype(np.uint64)
+    key = np.zeros((len(sets), len(part)), np.uint64)
     for r in range(rows):
         key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + low[:, :, r])
     return key
@@ -101,6 +104,28 @@ def banded(count: int, rows: int, seed: int = 1):
     return run
 
 
+def band_keys(count: int, rows: int, part: range | None = None, seed: int = 1):
+    """A column function: the band keys of the first collection alone, or those of a part of the bands."""
+    part = range(count) if part is None else part
+    place = np.arange(part.start, part.stop, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def run(words: pd.Series) -> pd.Series:
+        return pd.Series(list(_mix(bands(words.tolist(), count, rows, seed, part) + place).view(np.int64)) if len(words) else [])
+
+    return run
+
+
+def band_sketch(count: int, rows: int, seed: int = 1):
+    """A column function: 16 bits of each band of the second collection."""
+
+    @F.pandas_udf(T.BinaryType())
+    def run(words: pd.Series) -> pd.Series:
+        return pd.Series([x.tobytes() for x in (bands(words.tolist(), count, rows, seed + 1) >> np.uint64(48)).astype(np.uint16)] if len(words) else [])
+
+    return run
+
+
 def tensored(sets: DataFrame, count: int, rows: int) -> DataFrame:
     """(key, id, other) of sets (id, words): a row for each band of the first collection, with all bands of the second.
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -136,3 +137,29 @@ def test_keys_that_very_many_records_share(spark, monkeypatch):
     want = brute(memories + many, candidates + more)
     got = {r.id: r.original_id for r in start(spark, memories + many).link(frame(spark, candidates + more)).collect()}
     assert set(got) == set(want) and all(got[i] in want[i] for i in got)
+
+
+def test_parts_find_the_same_and_sketches_are_not_kept_with_keys(spark, monkeypatch):
+    memories, candidates = data(4)
+    want = brute(memories, candidates)
+    for name, value in (("BROADCAST_ROWS", 0), ("PASS_KEYS", 900), ("PASS_PAIRS", 100)):
+        monkeypatch.setattr(linkage, name, value)
+    parts, run = [], linkage.meeting
+    monkeypatch.setattr(linkage, "meeting", lambda keyed, scratch, count: parts.append(keyed.count()) or run(keyed, scratch, count))
+    linker = start(spark, memories)
+    got = {r.id: r.original_id for r in linker.link(frame(spark, candidates)).collect()}
+    assert set(got) == set(want) and all(got[i] in want[i] for i in got)
+    # A row of the kept keys is a key and an id, and a part of the bands crosses the network at a time.
+    assert linker.kept("keys").columns == ["key", "id"]
+    assert len(parts) > 4 and max(parts) < 0.3 * sum(parts)
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    Scratch(spark, "test").keep(spark.range(1000).repartition(3, "id"), "t")
+    for _ in range(50):  # they are deleted in the background
+        if files() <= before:
+            return
+        time.sleep(0.2)
+    raise AssertionError(files() - before)
