@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions.text import token_set, tokens
-from sessionloom.operators.components import HELD, _contracted
+from sessionloom.operators.components import HELD, _contracted, components
 from sessionloom.runtime import Scratch
 
 #: Classes in a chunk of a block; two chunks meet in one task.
 CHUNK = 1 << 14
 
+#: Steps round the circle of a block's chunks that one round takes in either direction; a class goes to 2 * STEPS tasks at most.
+STEPS = 2
+
 
 def query_tokens(query: str) -> list[str]:
     """Runs of letters, digits and underscores of a query, in order, in their case."""
@@ -121,15 +124,35 @@ def joined_classes(records: DataFrame, threshold: float, scratch: Scratch | None
 
     Ends of edges are xxhash64(block, class_id). The classes of a block are cut into chunks of about ``chunk``, and a task has
     two chunks. Links may be as many as the square of a block; a task returns a forest, at most one edge for each of its classes.
+    The chunks of a block stand in a circle and meet in rounds, the near ones first, so that a round sends each class to few
+    tasks however many chunks there are; its shuffle is deleted and its edges become one forest before the next one.
     """
     scratch = scratch or Scratch(records.sparkSession, "joined")
     membership, classes = _classes(records, scratch)
-    many = classes.where(F.size("set") > 0).groupBy("block").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    t = classes.where(F.size("set") > 0).join(many, "block")
-    t = t.select("block", F.xxhash64("block", "class_id").alias("node"), F.pmod(F.xxhash64("class_id"), F.col("chunks")).cast("int").alias("chunk"), "chunks", F.transform("set", lambda w: F.xxhash64(w)).alias("words"))
-    t = t.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    t = t.select("block", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "node", "chunk", "words")
-    return membership, scratch.keep(t.groupBy("block", "lo", "hi").applyInArrow(_joined(threshold), "a long, b long"), "joined")
+    membership = scratch.keep(membership, "membership")
+    scratch.drop("sets")
+    full = classes.where(F.size("set") > 0)
+    many = scratch.keep(full.groupBy("block").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")), "chunks")
+    t = full.join(many, "block").select("block", F.xxhash64("block", "class_id").alias("node"), F.pmod(F.xxhash64("class_id"), F.col("chunks")).cast("int").alias("chunk"), "chunks", F.transform("set", lambda w: F.xxhash64(w)).alias("words"))
+    t = scratch.keep(t, "words")
+    scratch.drop("classes")
+    most, edges = many.agg(F.max("chunks")).first()[0] or 1, None
+    for first in range(0, most // 2 + 1, STEPS):
+        last = F.least(F.lit(first + STEPS - 1), F.floor(F.col("chunks") / 2).cast("int"))
+        # Two chunks that are as far apart as half the circle meet by both ways round, but once.
+        others = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(first), last), lambda d: F.array(F.pmod(F.col("chunk") + d, "chunks"), F.pmod(F.col("chunk") - d, "chunks")))))
+        met = t.where(F.floor(F.col("chunks") / 2) >= first).select("block", "node", "chunk", "words", F.explode(others).alias("other"))
+        met = met.select("block", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "node", "chunk", "words")
+        fresh = scratch.keep(met.groupBy("block", "lo", "hi").applyInArrow(_joined(threshold), "a long, b long"), f"edges/joined{first}")
+        if edges is None:
+            edges = fresh
+            continue
+        roots = components(edges.union(fresh), scratch.part(f"edges/roots{first}")).where("node <> root")
+        edges = scratch.keep(roots.toDF("a", "b"), f"edges/forest{first}")
+        for over in (f"joined{first}", f"roots{first}", f"joined{first - STEPS}", f"forest{first - STEPS}"):
+            scratch.drop(f"edges/{over}")
+    scratch.drop("words")
+    return membership, edges
 
 
 def nearest(queries: DataFrame, records: DataFrame, k: int = 5) -> DataFrame:

@@ -33,10 +33,8 @@ def clusters(records: DataFrame, threshold: float = 0.35, least: int = 2, cap: i
     tagged = records.select("id", F.explode(F.array_distinct("domain")).alias("block"), "text", "confidence").where(F.col("block").isNotNull() & F.col("id").isNotNull())
     tagged = scratch.keep(tagged, "tagged")
     membership, edges = joined_classes(tagged, threshold, scratch)
-    membership = scratch.keep(membership, "membership")
-    scratch.drop("sets")
-    scratch.drop("classes")
     roots = components(edges, scratch)
+    scratch.drop("edges")
     placed = membership.withColumn("node", F.xxhash64("block", "class_id")).join(roots, "node", "left").select("id", "block", F.coalesce("root", "node").alias("root"))
     ranked = placed.join(tagged.groupBy("id", "block").agg(F.max("confidence").alias("confidence")), ["id", "block"])
     sizes = ranked.groupBy("block", "root").agg(F.count("*").alias("n")).where(F.col("n") >= least)

@@ -98,6 +98,18 @@ def shuffled(spark):
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
+def test_chunks_meet_in_rounds(spark):
+    rows = [(f"m{i:03d}", "t", f"order of things matters here only{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "id string, block string, text string")
+    gw = spark.sparkContext._gateway
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gw.new_array(gw.jvm.double, 0), gw.jvm.java.util.ArrayList())
+    seen = max((stages().apply(i).stageId() for i in range(stages().size())), default=-1)
+    _, edges = joined_classes(df, 0.35, chunk=30)
+    after = stages()
+    assert max(after.apply(i).shuffleWriteRecords() for i in range(after.size()) if after.apply(i).stageId() > seen) < 5 * 300  # all chunks at once: 3,000
+    assert components(edges).select("root").distinct().count() == 1 and components(edges).count() == 300
+
+
 def test_clusters_shuffle_no_pairs(spark):
     rows = [(f"m{i:03d}", ["t"], f"order of things matters here only{i}", 0.5) for i in range(300)]
     before = shuffled(spark)
